@@ -24,7 +24,7 @@ OPEN_BINS = 256
 #: Pieces that one packing task takes in, by expectation.
 PIECES_PER_TASK = 2_000_000
 #: Words whose ids a worker remembers; other words are encoded each time.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 #: Strings that the tokenizer handles across or inside white space in its own way.
@@ -66,30 +66,41 @@ class WordEncoder:
         return out
 
     def encode(self, raws: list[bytes | None]) -> Iterator[np.ndarray]:
-        texts = [[] if raw is None else raw.decode().split() for raw in raws]
-        fresh = list({w for words in texts for w in words if w not in self.cache})
-        found = self._learn(fresh)
+        held, lacking, fresh = [], [], {}
+        get = self.cache.get
+        for k, raw in enumerate(raws):
+            words = [] if raw is None else raw.decode().split()
+            blobs = list(map(get, words))
+            try:
+                blobs = b"".join(blobs)
+            except TypeError:  # some word is not remembered
+                at = [i for i, x in enumerate(blobs) if x is None]
+                missing = [words[i] for i in at]
+                fresh.update(dict.fromkeys(missing))
+                lacking.append((k, at, missing))
+            held.append(blobs)
+        found = self._learn(list(fresh))
+        for k, at, missing in lacking:
+            blobs = held[k]
+            for i, word in zip(at, missing, strict=True):
+                blobs[i] = found[word]
+            held[k] = b"".join(blobs)
         if len(self.cache) < self.most:
             self.cache.update(found)
-            table = self.cache
-        else:
-            table = _Both(self.cache, found)
-        for raw, words in zip(raws, texts, strict=True):
+        for raw, blob in zip(raws, held, strict=True):
             if raw is not None and any(x in raw for x in _SPECIAL):
-                yield np.frombuffer(self._whole(raw.decode()), "<u4")
-            else:
-                yield np.frombuffer(b"".join(map(table.__getitem__, words)), "<u4")
+                blob = self._whole(raw.decode())
+            yield np.frombuffer(blob, "<u4")
 
 
-class _Both(dict):
-    """Looks in ``found`` for what the cache lacks."""
+_ENCODERS: dict[str, WordEncoder] = {}
 
-    def __init__(self, cache: dict, found: dict) -> None:
-        super().__init__(found)
-        self.back = cache
 
-    def __missing__(self, key):
-        return self.back[key]
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of this Python worker; what it remembers serves all its tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
@@ -100,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         for batch in slices(batches, 4 << 20):
             rows: list[list] = [[], [], [], [], [], []]
             for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(as_bytes(batch.column(1))), strict=True):
