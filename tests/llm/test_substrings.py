@@ -62,12 +62,12 @@ def test_long_prefixes_and_salts(spark, monkeypatch):
 
 def test_very_long_text_is_cut_into_segments(monkeypatch):
     monkeypatch.setattr(substrings, "_SEGMENT", 10)
-    part = substrings._Words([1], [2], [b" ".join(b"%d" % i for i in range(57))], substrings._Hashes(), 5)
+    part = substrings._Words([1], [2], [b" ".join(b"%d" % i for i in range(57))], 5)
     assert (part.start + part.base).tolist() == list(range(53))
 
 
 def test_sorted_suffixes_have_their_common_prefixes():
-    tree = substrings.Subtree([b"a b c d".split(), b"x a b c d".split(), b"a b c e".split()], 3)
+    tree = substrings.Subtree(substrings.Text(b"a b c d\nx a b c d\na b c e"), 3)
     node = tree.deep_nodes(3)
     assert len(node) == 5 and len(set(node.tolist())) == 2
 

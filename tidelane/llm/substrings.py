@@ -36,7 +36,7 @@ WINDOW = 13
 #: Words in a prefix, from the shortest; the last is the whole window.
 PREFIXES = (2, 5)
 #: Suffixes in a group, by expectation.
-GROUP_SUFFIXES = 1_500_000
+GROUP_SUFFIXES = 700_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BUCKETS = 1 << 20
 #: Places fit the low 24 bits of a packed hash.
@@ -45,19 +45,49 @@ _LOW = np.uint64((1 << 24) - 1)
 _SALTS = 64
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, remembered for as many words as ``most``."""
-
-    def __init__(self, most: int = 500_000) -> None:
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        got = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.most:
-            self[word] = got
-        return got
+_R = np.uint64(0xD6E8FEB86659FD93)
+_R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
+_STRETCH = 1 << 17
+
+
+class Text:
+    """Words in one buffer, cut by single spaces and line feeds: places and 64-bit hashes."""
+
+    _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def __init__(self, joined: bytes) -> None:
+        self.joined = joined
+        buffer = np.frombuffer(joined, np.uint8)
+        cuts = np.flatnonzero((buffer == 32) | (buffer == 10))
+        self.is_end = np.append(buffer[cuts] == 10, True)  # the word ends a line
+        self.starts = np.concatenate([[0], cuts + 1])
+        self.ends = np.append(cuts, len(buffer))
+        self.h = np.empty(len(self.starts), np.uint64)
+        at = 0
+        while at < len(self.starts):  # by stretches of whole words that fit the cache
+            base = self.starts[at]
+            end = max(at + 1, int(np.searchsorted(self.starts, base + _STRETCH)))
+            part = buffer[base : self.ends[end - 1]]
+            up, down = self._power(len(part) + 1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+            lo, hi = self.starts[at:end] - base, self.ends[at:end] - base
+            self.h[at:end] = mix((sums[hi] - sums[lo]) * down[lo])
+            at = end
+
+    @classmethod
+    def _power(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls._powers[0]) < n:
+            grown = []
+            for r in (_R, _R_INVERSE):
+                x = np.full(1 << (n - 1).bit_length(), r, np.uint64)
+                x[0] = 1
+                grown.append(np.cumprod(x))
+            cls._powers = tuple(grown)
+        return cls._powers
+
+    def word(self, k: int) -> bytes:
+        return self.joined[self.starts[k] : self.ends[k]]
 
 
 def _grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -80,9 +110,9 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 class _Words:
     """The words of a slice of documents, end to end, and the windows within them."""
 
-    def __init__(self, keys: list, hashes: list, raws: list[bytes | None], cache: _Hashes, window: int) -> None:
-        self.words: list[bytes] = []
+    def __init__(self, keys: list, hashes: list, raws: list[bytes | None], window: int) -> None:
         self.docs: list[tuple[int, int]] = []
+        lines: list[bytes] = []
         first, starts, owner, base = 0, [], [], []
         for key, mark, raw in zip(keys, hashes, raws, strict=True):
             if key is None or raw is None:
@@ -98,28 +128,27 @@ class _Words:
                 starts.append(np.arange(first, first + n))
                 owner.append(np.full(n, doc, np.uint32))
                 base.append(np.full(n, at - first, np.int64))
-                self.words += part
+                lines.append(b" ".join(part))
                 first += len(part)
         none = np.zeros(0, np.int64)
         self.start = np.concatenate(starts) if starts else none
         self.owner = np.concatenate(owner) if owner else none.astype(np.uint32)
         self.base = np.concatenate(base) if base else none
-        self.h = np.fromiter(map(cache.__getitem__, self.words), np.uint64, len(self.words))
+        self.text = Text(b"\n".join(lines))
         self.window = window
 
     def anchors(self, n: int) -> np.ndarray:
         """For each window, the least n-gram hash (high 40 bits) and its place (low 24)."""
-        grams = _grams(self.h, n)
+        grams = _grams(self.text.h, n)
         packed = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
         return _least(packed, self.window - n + 1)[self.start]
 
 
 def _parts(batches, window):
     """Slices of (doc_id, row mark, text) batches as _Words, each short of 2**24 words."""
-    cache = _Hashes()
-    for batch in slices(batches, 12 << 20):
+    for batch in slices(batches, 4 << 20):
         keys, marks, raws = batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))
-        got = _Words(keys, marks, raws, cache, window)
+        got = _Words(keys, marks, raws, window)
         if len(got.start):
             yield got
 
@@ -192,11 +221,9 @@ def _deal(docs: DataFrame, groups: int, hot: list[np.ndarray], window: int) -> D
                 own = mix(np.array([k for k, _ in part.docs], np.int64).view(np.uint64))[part.owner[at]] % np.uint64(_SALTS)
                 deal = np.where(salt[at], mix(deal + own + np.uint64(1)), deal)
             group = (deal % np.uint64(groups)).astype(np.int64) * 2 + salt[at]
-            lengths = np.fromiter(map(len, part.words), np.int64, len(part.words)) + 1
-            edge = np.concatenate([[0], np.cumsum(lengths)])
-            joined = b" ".join(part.words)
             order = np.argsort(group, kind="stable")
-            lo, hi, group = edge[first[order]].tolist(), (edge[end[order]] - 1).tolist(), group[order]
+            joined, group = part.text.joined, group[order]
+            lo, hi = part.text.starts[first[order]].tolist(), part.text.ends[end[order] - 1].tolist()
             texts = [joined[a:b] for a, b in zip(lo, hi, strict=True)]
             owner, start = part.owner[at][order], (first + part.base[at])[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]).tolist()
@@ -215,29 +242,36 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 class Subtree:
     """Suffixes below the prefixes of one group: sorted, with common-prefix lengths.
 
-    ``runs`` are word sequences; every position with ``window`` words or more to
-    the end of its run is a suffix.
+    Each line of the text is a run of words; every position with ``window`` words
+    or more to the end of its run is a suffix.
     """
 
-    def __init__(self, runs: list[list[bytes]], window: int) -> None:
-        ids: dict[bytes, int] = {}
-        flat = [ids.setdefault(w, len(ids)) for run in runs for w in run]
-        self.ids = np.array(flat, np.int32)
-        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-        counts = np.maximum(sizes - window + 1, 0)
-        first = np.cumsum(sizes) - sizes
-        self.run = np.repeat(np.arange(len(runs)), counts)
+    def __init__(self, text: Text, window: int) -> None:
+        self.text = text
+        last = np.flatnonzero(text.is_end) + 1
+        first = np.concatenate([[0], last[:-1]])
+        counts = np.maximum(last - first - window + 1, 0)
+        self.run = np.repeat(np.arange(len(last)), counts)
         self.within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         self.place = first[self.run] + self.within
         # a suffix whose window hash stands alone is a leaf above the deep nodes
-        key = _grams(mix(self.ids.astype(np.uint64) + np.uint64(1)), window)[self.place] if len(self.place) else np.zeros(0, np.uint64)
+        key = _grams(text.h, window)[self.place] if len(self.place) else np.zeros(0, np.uint64)
         order = np.argsort(key)
         same = key[order][1:] == key[order][:-1]
         shared = np.zeros(len(key), bool)
         shared[order[1:]] |= same
         shared[order[:-1]] |= same
         self.suffix = np.flatnonzero(shared)
-        columns = [self.ids[self.place[self.suffix] + k] for k in range(window)]
+        # the rest are sorted by their words themselves, numbered as they come
+        used = np.zeros(len(text.h) + 1, np.int64)
+        np.add.at(used, self.place[self.suffix], 1)
+        np.add.at(used, self.place[self.suffix] + window, -1)
+        used = np.flatnonzero(np.cumsum(used[:-1]))
+        numbers: dict[bytes, int] = {}
+        ids = np.zeros(len(text.h), np.int32)
+        joined = text.joined
+        ids[used] = [numbers.setdefault(joined[a:b], len(numbers)) for a, b in zip(text.starts[used].tolist(), text.ends[used].tolist(), strict=True)]
+        columns = [ids[self.place[self.suffix] + k] for k in range(window)]
         rank = np.lexsort(columns[::-1])
         self.suffix = self.suffix[rank]
         self.lcp = np.zeros(max(len(rank) - 1, 0), np.int64)
@@ -258,18 +292,18 @@ _FOUND = "kind int, doc_id long, mark long, spans binary, g long, docs binary, o
 def _repeats(window: int):
     def run(table: pa.Table) -> pa.Table:
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
-        docs, owner, start, runs, salted = [], [], [], [], False
+        docs, owner, start, lines, salted = [], [], [], [], False
         n = 0
         for row in table.to_pylist():
             held = np.frombuffer(unpack(row["docs"]), "<i8").reshape(-1, 2)
             docs.append(held)
             owner.append(np.frombuffer(unpack(row["owner"]), "<u4").astype(np.int64) + n)
             start.append(np.frombuffer(unpack(row["start"]), "<i8"))
-            runs += [x.split(b" ") for x in unpack(row["text"]).split(b"\n")]
+            lines.append(unpack(row["text"]))
             salted |= bool(row["round"])
             n += len(held)
         docs, owner, start = np.concatenate(docs), np.concatenate(owner), np.concatenate(start)
-        tree = Subtree(runs, window)
+        tree = Subtree(Text(b"\n".join(lines)), window)
         who, at = owner[tree.run[tree.suffix]], start[tree.run[tree.suffix]] + tree.within[tree.suffix]
         node = tree.deep_nodes(window)
         rows: list[tuple] = []
@@ -281,8 +315,8 @@ def _repeats(window: int):
             if salted:
                 ahead = np.flatnonzero(docs[who, 0] == least)
                 ahead = ahead[np.unique(np.stack([node[ahead], docs[who[ahead], 1]]), axis=1, return_index=True)[1]]
-                word = [w for r in runs for w in r]
-                texts = [b" ".join(word[p : p + window]) for p in place[ahead].tolist()]
+                text = tree.text
+                texts = [text.joined[text.starts[p] : text.ends[p + window - 1]] for p in place[ahead].tolist()]
                 _, _, *packed = _emit(pack, 0, 0, [tuple(x) for x in docs.tolist()], who[ahead], at[ahead], texts)
                 rows.append((1, None, None, None, int(table.column("g")[0].as_py()), *packed))
             late = docs[who, 0] > least
