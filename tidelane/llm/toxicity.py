@@ -220,7 +220,8 @@ class Model:
         self.base = float(y.mean()) if len(y) else 0.0
         if not 0 < y.sum() < len(y):
             return
-        tokens = [self._tokens(t) for t in texts]
+        shared: dict[str, str] = {}
+        tokens = [[shared.setdefault(r, r) for r in self._restored(t)] for t in texts]
         fold = np.array([zlib.crc32(t) % 2 for t in texts])
         x, kept = [], []
         for part in (0, 1):  # a document's signals come from the other half's words
@@ -232,21 +233,28 @@ class Model:
         self.curve = _logistic(np.array(x), y[kept])
         self.words = Words(channel, self._weights(tokens, y))
 
-    def _tokens(self, raw: bytes) -> set[str]:
+    def _restored(self, raw: bytes) -> set[str]:
         words = raw.split()
-        known = [r for w in {w.decode("utf-8", "replace") for w in words} for r in self.words.restored(w)[:1]]
-        return {f for r in [*known, *[r for s in spaced_out(words) for r in self.words.channel.readings(s)[:1]]] for f in features(r)}
+        known = {r for w in {w.decode("utf-8", "replace") for w in words} for r in self.words.restored(w)[:1]}
+        return known | {r for s in spaced_out(words) for r in self.words.channel.readings(s)[:1]}
 
     @staticmethod
-    def _weights(tokens: list[set[str]], y: np.ndarray) -> dict[str, float]:
-        toxic = Counter(f for t, label in zip(tokens, y, strict=True) if label for f in t)
+    def _weights(tokens: list[list[str]], y: np.ndarray) -> dict[str, float]:
+        """Log-odds of features that stand in enough toxic documents; ``tokens`` are distinct words."""
+        toxic: Counter = Counter()
+        for words, label in zip(tokens, y, strict=True):
+            if label:
+                toxic.update({f for w in words for f in features(w)})
         # a beginning speaks for itself only if no one word makes most of its documents
         most: dict[str, int] = {}
         for f, n in toxic.items():
             if not f.endswith("~"):
                 most.update((b, max(n, most.get(b, 0))) for b in features(f)[1:])
         toxic = {f: n for f, n in toxic.items() if n >= LEAST_DOCUMENTS and n >= 2 * most.get(f, 0)}
-        clean = Counter(f for t, label in zip(tokens, y, strict=True) if not label for f in t if f in toxic)
+        clean: Counter = Counter()
+        for words, label in zip(tokens, y, strict=True):
+            if not label:
+                clean.update({f for w in words for f in features(w) if f in toxic})
         prior = y.mean()
         out = {f: math.log((n + DOUBT * prior) / (clean[f] + DOUBT * (1 - prior)) * (1 - prior) / prior) for f, n in toxic.items()}
         return {f: w for f, w in out.items() if w >= LEAST_WEIGHT}
