@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelane.llm import embeddings, language, packing, quality, rules, simhash, substrings, toxicity
+from tidelane.llm import embeddings, language, lines, packing, quality, rules, simhash, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,28 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision on every line; ``lines.remove_lines`` rewrites the texts."""
+    found = lines.similar_lines(_table(spark, sf_dir, "documents"))
+    return found.selectExpr("id AS doc_id", "CAST(no AS BIGINT) AS line_no", "kept")
+
+
+#: Every line against every earlier one with which it shares a shingle.
+_OP7_SQL = r"""
+WITH texts AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+l AS (SELECT doc_id, (generate_subscripts(ls, 1) - 1)::BIGINT AS line_no, unnest(ls) AS line FROM texts),
+w AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
+t AS (SELECT doc_id, line_no, CASE WHEN len(ws) >= 5 THEN list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)])
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS tokens FROM w),
+e AS (SELECT doc_id, line_no, len(tokens) AS k, unnest(tokens) AS token FROM t),
+pairs AS (SELECT a.doc_id, a.line_no, a.k AS ka, b.k AS kb, count(*) AS c FROM e a JOIN e b
+  ON a.token = b.token AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.line_no < a.line_no))
+  GROUP BY a.doc_id, a.line_no, a.k, b.doc_id, b.line_no, b.k),
+gone AS (SELECT DISTINCT doc_id, line_no FROM pairs WHERE c >= 0.8 * (ka + kb - c) - 1e-9)
+SELECT doc_id, line_no, g IS NULL AS kept FROM t LEFT JOIN (SELECT *, 1 AS g FROM gone) USING (doc_id, line_no)
+"""
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -90,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -97,4 +120,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_near_dedup": _OP1_SQL,
     "op6_substring_dedup": _OP6_SQL,
+    "op7_line_dedup": _OP7_SQL,
 }
