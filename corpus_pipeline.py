@@ -1,13 +1,62 @@
-"""The corpus pipeline: stages that each read what the one before wrote."""
+"""The corpus pipeline: each stage reads what the one before wrote.
+
+Language identification, line removal, SimHash near-duplicates, substring removal
+and best-fit packing.  All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelane.llm import language, lines, packing, simhash, substrings
+from tidelane.llm.common import save
+from tidelane.llm.queries import tokenizer_file
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised."""
+    return language.keep_known(docs.select(*COLUMNS))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier line resembles."""
+    return lines.remove_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_one(docs.select(*COLUMNS))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of an earlier document; their words joined by one space."""
+    kept = substrings.remove_repeats(docs.select(*COLUMNS), others=("lang", "source"))
+    return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in the training sequences."""
+    return packing.best_fit_pack(docs.select(*COLUMNS), tokenizer_file("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
 
+#: A tokenizer, hashes and a fitted model are not SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = save(stage(spark, docs, sf_dir), name)
+    return docs

@@ -30,6 +30,8 @@ SAMPLE_PER_LANGUAGE, SAMPLE_BYTES, MOST_LANGUAGES, LANDMARKS = 400, 20_000, 200,
 RIDGE = 1e-2
 #: A softmax of the regressions' outputs, which lie around 0 and 1.
 SHARPNESS = 12.0
+#: Below this no language stands out: among four, an even split scores 0.25.
+LEAST_SCORE = 0.3
 _LETTER = re.compile(r"[^\W\d_]")
 _WORDS = re.compile(rb"[A-Za-z\x80-\xff]+")
 _DIM = 256 + 256**2 + 256**3
@@ -165,3 +167,19 @@ def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
     key = col(doc_id).cast("long")
     rows = docs.select(key.alias("doc_id"), held_out(key).alias("held_out"), col(text).cast("string").alias("_text"), *[col(x) for x in others])
     return rows.mapInArrow(run, ", ".join(["doc_id long, held_out boolean, lang_pred string, score double", *[f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]]))
+
+
+def keep_known(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least_score: float = LEAST_SCORE, model: Model | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language is recognised, all columns kept.
+
+    What has no letter, no text or a score below ``least_score`` goes.
+    """
+    model = fit(docs, doc_id=doc_id, text=text, lang=lang) if model is None else model
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            langs, scores = shared.value.predict(batch.column(place).to_pylist())
+            yield batch.filter(pa.array([x != UNKNOWN and y >= least_score for x, y in zip(langs, scores.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
