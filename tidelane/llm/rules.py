@@ -119,7 +119,7 @@ def statistics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", l
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     values = [F.log(n), F.log(F.greatest(F.col("word_chars") / n, F.lit(1.0))), F.log1p(100 * F.col("n_symbols") / n), F.col("_capitals") / F.greatest("word_chars", F.lit(1)), F.col("n_dup_lines") / F.greatest("_lines", F.lit(1)), F.col("n_repeat_words") / n]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return rows.select("doc_id", "_lang", "_source", *_NAMES[:5], failed.alias("base_failed"), *[v.cast("double").alias(x) for v, x in zip(values, _X, strict=True)])
+    return rows.select("doc_id", "_lang", "_source", *_NAMES[:5], failed.alias("base_failed"), F.lit("a").alias("_all"), *[v.cast("double").alias(x) for v, x in zip(values, _X, strict=True)])
 
 
 def _squared(centre: str, root: str) -> Column:
@@ -163,7 +163,9 @@ def estimates(vectors: DataFrame, steps: int = STEPS, least_rows: int = LEAST_RO
     for _ in range(steps):
         far = vectors.join(found, "group").withColumn("d", _squared("centre", "root"))
         bound = far.groupBy("group").agg(F.percentile_approx("d", NEAREST).alias("bound"))
-        near = far.join(bound, "group").where("d <= bound")
+        # one small row per group, so that the vectors themselves need not move for it
+        bounded = save(found.join(bound, "group"), "distance-bounds")
+        near = vectors.join(bounded, "group").where(_squared("centre", "root") <= F.col("bound"))
         sums = F.array(*[F.sum(x) for x in _X])
         products = F.array(*[F.sum(F.col(_X[k]) * F.col(_X[j])) for k in range(_P) for j in range(k + 1)])
         moments = near.groupBy("group").agg(F.count(F.lit(1)).cast("double").alias("n"), sums.alias("sums"), products.alias("products"))
@@ -181,14 +183,14 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     An empty table gives no rows.
     """
     rows = save(statistics(docs, doc_id=doc_id, text=text, lang=lang, source=source), "document-statistics")
-    levels = {"own": F.concat_ws("\x1f", F.lit("s"), "_lang", "_source"), "wide": F.concat_ws("\x1f", F.lit("l"), "_lang"), "all": F.lit("a")}
+    levels = {"own": F.concat_ws("\x1f", F.lit("s"), "_lang", "_source"), "wide": F.concat_ws("\x1f", F.lit("l"), "_lang"), "all": F.col("_all")}
     good = rows.where(~F.col("base_failed"))
     vectors = [good.select(key.alias("group"), *_X).distinct() for key in levels.values()]
     found = estimates(save(reduce(DataFrame.unionByName, vectors), "distinct-statistics"), least_rows=least_rows)
     judged = rows
     for name, key in levels.items():
-        side = found.select(F.col("group").alias(f"_{name}"), F.col("centre").alias(f"_c_{name}"), F.col("root").alias(f"_r_{name}"))
-        judged = judged.join(side, key == F.col(f"_{name}"), "left")
+        side = found.select(F.col("group").alias(f"_g_{name}"), F.col("centre").alias(f"_c_{name}"), F.col("root").alias(f"_r_{name}"))
+        judged = judged.join(side, key == F.col(f"_g_{name}"), "left")
     judged = judged.withColumns({"_centre": F.coalesce(*[f"_c_{x}" for x in levels]), "_root": F.coalesce(*[f"_r_{x}" for x in levels])})
     distance = _squared("_centre", "_root").alias("distance")
     judged = judged.select("doc_id", *_NAMES[:5], "base_failed", distance)
