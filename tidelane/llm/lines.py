@@ -24,6 +24,8 @@ from tidelane.llm.common import col, save
 SHINGLE, SIMILARITY = 5, 0.8
 #: Buckets of the rarity counts; a power of two, at most 4096.
 RANKS = 4096
+#: Keys (of eight bytes) that a join may broadcast.
+BROADCAST_KEYS = 2_000_000
 
 
 def words(line: str) -> str:
@@ -32,10 +34,32 @@ def words(line: str) -> str:
 
 
 def shingles(w: str, size: int = SHINGLE) -> str:
-    """SQL for the distinct shingles of a word array, as structs; a short line is its words, padded with nulls."""
-    long = ", ".join(f"slice({w}, {k + 1}, size({w}) - {size - 1})" for k in range(size))
-    short = ", ".join(f"'{k}', get({w}, {k})" for k in range(size))
-    return f"CASE WHEN size({w}) >= {size} THEN array_distinct(arrays_zip({long})) WHEN size({w}) > 0 THEN array(named_struct({short})) ELSE array() END"
+    """SQL for the distinct shingles of a word array, as text; a short line is one."""
+    return f"CASE WHEN size({w}) >= {size} THEN array_distinct(transform(sequence(1, size({w}) - {size - 1}), i -> array_join(slice({w}, i, {size}), ' '))) WHEN size({w}) > 0 THEN array(array_join({w}, ' ')) ELSE array() END"
+
+
+def hashed(w: str, size: int = SHINGLE) -> str:
+    """SQL for the hashes of the distinct shingles."""
+    s = ", ".join(f"{w}[i + {k}]" for k in range(size))
+    return f"CASE WHEN size({w}) >= {size} THEN array_distinct(transform(sequence(0, size({w}) - {size}), i -> xxhash64({s}))) ELSE array(xxhash64({w})) END"
+
+
+def made(rows: DataFrame, keep: list[str], **columns: str) -> DataFrame:
+    """``keep`` and new columns by SQL, each evaluated once.
+
+    A generator of one row stands between: the optimizer moves no filter and no
+    later expression into what it makes, which would evaluate arrays anew for
+    every use of an element.
+    """
+    fields = ", ".join(f"'{n}', {e}" for n, e in columns.items())
+    return rows.selectExpr(*keep, f"inline(array(named_struct({fields}))) AS ({', '.join(columns)})")
+
+
+def _within(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose key is among ``keys`` (one column, distinct): a broadcast up to
+    ``BROADCAST_KEYS`` of them, which are counted first, else a join by key."""
+    few = keys.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, name, "left_semi")
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -49,14 +73,13 @@ def _key() -> list[Column]:
 
 def _tokens(distinct: DataFrame, size: int) -> DataFrame:
     """Rows (node, tokens): hashes of each line's shingles."""
-    w = distinct.selectExpr("node", f"{words('line')} AS w").where("size(w) > 0")
-    s = ", ".join(f"w[i + {k}]" for k in range(size))
-    return w.selectExpr("node", f"CASE WHEN size(w) >= {size} THEN array_distinct(transform(sequence(0, size(w) - {size}), i -> xxhash64({s}))) ELSE array(xxhash64(w)) END AS tokens")
+    w = made(distinct, ["node"], w=words("line")).where("size(w) > 0")
+    return made(w, ["node"], tokens=hashed("w", size))
 
 
 def _ranks(distinct: DataFrame, size: int) -> list[int]:
     """For each bucket of token hashes its rank, the rarest first; RANKS numbers come to the driver."""
-    w = distinct.selectExpr(f"{words('line')} AS w").where(f"size(w) >= {size}")
+    w = made(distinct, [], w=words("line")).where(f"size(w) >= {size}")
     long = ", ".join(f"slice(w, {k + 1}, size(w) - {size - 1})" for k in range(size))
     grams = w.selectExpr(f"inline(arrays_zip({long})) AS ({', '.join(f'w{k}' for k in range(size))})")
     counted = grams.groupBy(F.expr(f"xxhash64({', '.join(f'w{k}' for k in range(size))}) & {RANKS - 1}").alias("bucket")).count().collect()
@@ -68,14 +91,25 @@ def _ranks(distinct: DataFrame, size: int) -> list[int]:
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (x, y) of nodes whose lines are similar, as (earlier order, later node)."""
-    side = lambda n: distinct.select(F.col("node").alias(n), F.col("first").alias(f"{n}_first"), F.col("line").alias(f"{n}_line"))
+    """Of pairs (x, y) of nodes the later node, where the lines are similar.
+
+    Hashes of the shingles sort out most pairs; what they pass is verified on the words.
+    """
+    nodes = save(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "candidate-lines")
+    near = save(_within(distinct.select("node", "first", "line"), nodes, "node"), "candidate-texts")
+    side = lambda n: near.select(F.col("node").alias(n), F.col("first").alias(f"{n}_first"), F.col("line").alias(f"{n}_line"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
-    both = both.selectExpr("x", "y", "x_first", "y_first", f"{words('x_line')} AS xw", f"{words('y_line')} AS yw")
-    both = both.selectExpr("x", "y", "x_first", "y_first", f"{shingles('xw', size)} AS xs", f"{shingles('yw', size)} AS ys")
-    both = both.withColumn("common", F.size(F.array_intersect("xs", "ys")))
-    alike = both.where(F.col("common") >= similarity * (F.size("xs") + F.size("ys") - F.col("common")) - 1e-9)
-    return alike.select(F.when(F.col("x_first") < F.col("y_first"), F.col("y")).otherwise(F.col("x")).alias("node"))
+
+    def alike(rows: DataFrame, tokens) -> DataFrame:
+        names = ["x", "y", "x_first", "y_first", "x_line", "y_line"]
+        rows = made(rows, names, xw=words("x_line"), yw=words("y_line"))
+        rows = made(rows, names, xt=tokens("xw", size), yt=tokens("yw", size))
+        rows = made(rows, names, common="size(array_intersect(xt, yt))", total="size(xt) + size(yt)")
+        return rows.where(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select(*names)
+
+    # equal hashes can only raise the first count, so nothing is lost
+    found = alike(alike(both, hashed), shingles)
+    return found.select(F.when(F.col("x_first") < F.col("y_first"), F.col("y")).otherwise(F.col("x")).alias("node"))
 
 
 def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -92,26 +126,29 @@ def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     distinct = save(distinct, "distinct-lines")
     rank = "array(" + ", ".join(str(r - RANKS // 2) for r in _ranks(distinct, shingle)) + ")"
     # rarity first, then the rest of the hash; one to one with the token
-    ranked = _tokens(distinct, shingle).selectExpr("node", f"sort_array(transform(tokens, t -> shiftleft(CAST({rank}[CAST(t & {RANKS - 1} AS INT)] AS BIGINT), 52) | shiftrightunsigned(t, 12))) AS tokens", "size(tokens) AS k")
+    ranked = made(_tokens(distinct, shingle), ["node"], tokens=f"sort_array(transform(tokens, t -> shiftleft(CAST({rank}[CAST(t & {RANKS - 1} AS INT)] AS BIGINT), 52) | shiftrightunsigned(t, 12)))", k="size(tokens)")
     prefix = F.expr(f"slice(tokens, 1, k - CAST(ceil({similarity} * k - 1e-9) AS INT) + 1)")
     postings = save(ranked.select("node", "k", F.posexplode(prefix).alias("pos", "token")), "line-prefixes")
-    first = distinct.select("node", "first")
-
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("x")).where("n > 1").select("token", "x")
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1").select("token", "least")
     shared = save(shared, "shared-tokens")
-    # longest allowed lengths, and what the places leave at best
-    fits = (F.least("kx", "ky") >= similarity * F.greatest("kx", "ky") - 1e-9) & (F.least(F.col("kx") - F.col("px"), F.col("ky") - F.col("py")) >= F.ceil(similarity / (1 + similarity) * (F.col("kx") + F.col("ky")) - 1e-9) - F.least("px", "py"))
-    held = postings.join(shared, "token")
-    own = held.where("node = x").select("token", "x", F.col("k").alias("kx"), F.col("pos").alias("px"))
-    rest = held.where("node <> x").select("token", F.col("node").alias("y"), F.col("k").alias("ky"), F.col("pos").alias("py"))
-    tried = save(rest.join(own, "token").where(fits).select("x", "y").distinct(), "first-pairs")
+    index = save(_within(postings, shared.select("token"), "token").join(shared, "token"), "shared-prefixes")
+    needed = F.ceil(similarity / (1 + similarity) * (F.col("kx") + F.col("ky")) - 1e-9)
+    sizes = F.least("kx", "ky") >= similarity * F.greatest("kx", "ky") - 1e-9
+    x = index.select("token", "least", F.col("node").alias("x"), F.col("k").alias("kx"), F.col("pos").alias("px"))
+    y = index.select("token", "least", F.col("node").alias("y"), F.col("k").alias("ky"), F.col("pos").alias("py"))
+    # first, every line meets the least line of each of its tokens: at most one pair a posting
+    places = F.least("px", "py") + F.least(F.col("kx") - F.col("px"), F.col("ky") - F.col("py")) >= needed
+    own = x.where("x = least").drop("least")
+    tried = save(y.where("y <> least").drop("least").join(own, "token").where(sizes & places).select("x", "y").distinct(), "first-pairs")
     found = save(_verified(tried, distinct, shingle, similarity).distinct(), "first-matches")
-    # lines that are not decided yet meet every line of their tokens
-    index = postings.join(shared.select("token"), "token")
-    open_lines = index.join(found, "node", "left_anti").select("token", F.col("node").alias("y"), F.col("k").alias("ky"), F.col("pos").alias("py"))
-    every = index.select("token", F.col("node").alias("x"), F.col("k").alias("kx"), F.col("pos").alias("px"))
-    later = open_lines.join(every, "token").where("x <> y").where(fits).select("x", "y").distinct().join(tried, ["x", "y"], "left_anti")
-    later = later.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    # lines that this does not decide meet every line of their tokens; the tokens that two
+    # prefixes share, and what may follow the last of them, bound what the lines share
+    still = y.join(found.withColumnRenamed("node", "y"), "y", "left_anti").drop("least")
+    met = still.join(x.drop("least"), "token").where((F.col("x") != F.col("y")) & sizes)
+    met = met.groupBy("x", "y", "kx", "ky").agg(F.count(F.lit(1)).alias("c"), F.max("px").alias("px"), F.max("py").alias("py"))
+    met = met.where(F.col("c") + F.least(F.col("kx") - 1 - F.col("px"), F.col("ky") - 1 - F.col("py")) >= needed)
+    later = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
+    later = save(later, "later-pairs")
     gone = found.unionByName(_verified(later, distinct, shingle, similarity)).distinct().select("node", F.lit(True).alias("gone"))
     judged = distinct.join(gone, "node", "left").select("h1", "h2", "size", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     blank = F.size(F.expr(words("line"))) == 0
