@@ -35,12 +35,23 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and return a scan of it.
 
     The files outlive a lost executor; later stages never recompute what made
-    them.  The caller's cluster clears the folder, as it does for checkpoints.
+    them.  ``release`` deletes them early; the cluster clears what is left, as it
+    does for checkpoints.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelane/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_path = path
+    return out
+
+
+def release(*saved: DataFrame) -> None:
+    """Delete the files of saved tables that nothing unevaluated reads any more."""
+    for df in saved:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def col(name: str) -> Column:
@@ -124,11 +135,13 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = save(large, "large-star")
+        large, old = save(large, "large-star"), e
+        release(old)
         # small star: a node and its smaller neighbours move to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         e = save(small, "small-star")
+        release(large)
         row = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.count_if(F.col("a") <= F.col("b")).alias("bad")).first()
         if (row["n"], row["h"]) == seen:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -19,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import col, save
+from tidelane.llm.common import col, release, save
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Buckets of the rarity counts; a power of two, at most 4096.
-RANKS = 4096
+#: Buckets of the rarity counts.
+RANK_BITS = 16
+RANKS = 1 << RANK_BITS
 #: Keys (of eight bytes) that a join may broadcast.
 BROADCAST_KEYS = 2_000_000
 
@@ -72,9 +73,9 @@ def _key() -> list[Column]:
 
 
 def _tokens(distinct: DataFrame, size: int) -> DataFrame:
-    """Rows (node, tokens): hashes of each line's shingles."""
-    w = made(distinct, ["node"], w=words("line")).where("size(w) > 0")
-    return made(w, ["node"], tokens=hashed("w", size))
+    """Rows (node, id, tokens): the first document that has the line, and hashes of its shingles."""
+    w = made(distinct, ["node", "first.id AS id"], w=words("line")).where("size(w) > 0")
+    return made(w, ["node", "id"], tokens=hashed("w", size))
 
 
 def _ranks(distinct: DataFrame, size: int) -> list[int]:
@@ -126,32 +127,34 @@ def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     distinct = save(distinct, "distinct-lines")
     rank = "array(" + ", ".join(str(r - RANKS // 2) for r in _ranks(distinct, shingle)) + ")"
     # rarity first, then the rest of the hash; one to one with the token
-    ranked = made(_tokens(distinct, shingle), ["node"], tokens=f"sort_array(transform(tokens, t -> shiftleft(CAST({rank}[CAST(t & {RANKS - 1} AS INT)] AS BIGINT), 52) | shiftrightunsigned(t, 12)))", k="size(tokens)")
+    ranked = made(_tokens(distinct, shingle), ["node", "id"], tokens=f"sort_array(transform(tokens, t -> shiftleft(CAST({rank}[CAST(t & {RANKS - 1} AS INT)] AS BIGINT), {64 - RANK_BITS}) | shiftrightunsigned(t, {RANK_BITS})))", k="size(tokens)")
     prefix = F.expr(f"slice(tokens, 1, k - CAST(ceil({similarity} * k - 1e-9) AS INT) + 1)")
-    postings = save(ranked.select("node", "k", F.posexplode(prefix).alias("pos", "token")), "line-prefixes")
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1").select("token", "least")
+    postings = save(ranked.select("node", "id", "k", F.posexplode(prefix).alias("pos", "token")), "line-prefixes")
+    # the least by document: what later lines are compared with first
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "node")).alias("least")).where("n > 1").select("token", F.col("least.node").alias("least"))
     shared = save(shared, "shared-tokens")
     index = save(_within(postings, shared.select("token"), "token").join(shared, "token"), "shared-prefixes")
+    release(postings)
+    # Sizes within the similarity, and places of the first token that both have: before it
+    # nothing is common, so what follows must hold all that is needed.
     needed = F.ceil(similarity / (1 + similarity) * (F.col("kx") + F.col("ky")) - 1e-9)
-    sizes = F.least("kx", "ky") >= similarity * F.greatest("kx", "ky") - 1e-9
-    x = index.select("token", "least", F.col("node").alias("x"), F.col("k").alias("kx"), F.col("pos").alias("px"))
-    y = index.select("token", "least", F.col("node").alias("y"), F.col("k").alias("ky"), F.col("pos").alias("py"))
+    fits = (F.least("kx", "ky") >= similarity * F.greatest("kx", "ky") - 1e-9) & (F.least(F.col("kx") - F.col("px"), F.col("ky") - F.col("py")) >= needed)
+    x = index.select("token", "least", F.col("node").alias("x"), F.col("id").alias("ix"), F.col("k").alias("kx"), F.col("pos").alias("px"))
+    y = index.select("token", "least", F.col("node").alias("y"), F.col("id").alias("iy"), F.col("k").alias("ky"), F.col("pos").alias("py"))
     # first, every line meets the least line of each of its tokens: at most one pair a posting
-    places = F.least("px", "py") + F.least(F.col("kx") - F.col("px"), F.col("ky") - F.col("py")) >= needed
     own = x.where("x = least").drop("least")
-    tried = save(y.where("y <> least").drop("least").join(own, "token").where(sizes & places).select("x", "y").distinct(), "first-pairs")
+    tried = save(y.where("y <> least").drop("least").join(own, "token").where(fits).select("x", "y").distinct(), "first-pairs")
     found = save(_verified(tried, distinct, shingle, similarity).distinct(), "first-matches")
-    # lines that this does not decide meet every line of their tokens; the tokens that two
-    # prefixes share, and what may follow the last of them, bound what the lines share
+    # lines that this does not decide meet every line of their tokens that is not of a later document
     still = y.join(found.withColumnRenamed("node", "y"), "y", "left_anti").drop("least")
-    met = still.join(x.drop("least"), "token").where((F.col("x") != F.col("y")) & sizes)
-    met = met.groupBy("x", "y", "kx", "ky").agg(F.count(F.lit(1)).alias("c"), F.max("px").alias("px"), F.max("py").alias("py"))
-    met = met.where(F.col("c") + F.least(F.col("kx") - 1 - F.col("px"), F.col("ky") - 1 - F.col("py")) >= needed)
-    later = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
+    met = still.join(x.drop("least"), "token").where((F.col("ix") <= F.col("iy")) & (F.col("x") != F.col("y")) & fits)
+    later = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    later = later.join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     later = save(later, "later-pairs")
     gone = found.unionByName(_verified(later, distinct, shingle, similarity)).distinct().select("node", F.lit(True).alias("gone"))
-    judged = distinct.join(gone, "node", "left").select("h1", "h2", "size", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    blank = F.size(F.expr(words("line"))) == 0
+    judged = save(distinct.join(gone, "node", "left").select("h1", "h2", "size", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-verdicts")
+    release(distinct, shared, index, tried, found, later)
+    blank = F.translate("line", " \t\n\v\f\r", "") == ""
     keyed = lines.select("id", "mark", "no", blank.alias("blank"), *_key())
     return keyed.join(judged, ["h1", "h2", "size"]).select("id", "mark", "no", (F.col("blank") | (~F.col("gone") & (order == F.col("first")))).alias("kept"))
 
