@@ -73,8 +73,7 @@ class Model:
                 taken[lang] = taken.get(lang, 0) + 1
                 marks.append(i)
         self.gram = np.unique(np.concatenate([found[i] for i in marks]))
-        self.place = np.full(_DIM, -1, np.int32)
-        self.place[self.gram] = np.arange(len(self.gram))
+        self.place = self._places()
         presence = np.zeros((len(self.gram), len(marks)), np.float32)
         for k, i in enumerate(marks):
             presence[self.place[found[i]], k] = 1 / np.sqrt(len(found[i]))
@@ -95,8 +94,13 @@ class Model:
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         if self.languages:
-            self.place = np.full(_DIM, -1, np.int32)
-            self.place[self.gram] = np.arange(len(self.gram))
+            self.place = self._places()
+
+    def _places(self) -> np.ndarray:
+        """For each gram number its column, or -1; in the smallest type that holds them."""
+        place = np.full(_DIM, -1, np.int16 if len(self.gram) < 1 << 15 else np.int32)
+        place[self.gram] = np.arange(len(self.gram))
+        return place
 
     def kernel(self, found: list[np.ndarray]) -> np.ndarray:
         """Kernels of texts (by their grams) with the landmarks: one matrix product."""
