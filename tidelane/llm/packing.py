@@ -24,7 +24,7 @@ OPEN_BINS = 256
 #: Pieces that one packing task takes in, by expectation.
 PIECES_PER_TASK = 2_000_000
 #: Words whose ids a worker remembers; other words are encoded each time.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 450_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 #: Strings that the tokenizer handles across or inside white space in its own way.
