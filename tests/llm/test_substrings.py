@@ -60,6 +60,14 @@ def test_long_prefixes_and_salts(spark, monkeypatch):
     assert run(spark, rows, window=7, group_suffixes=40) == brute(rows, 7)
 
 
+def test_salted_first_holders_lose_every_place_of_a_hot_window(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "GROUP_SUFFIXES", 8)
+    passage = " ".join(f"p{k}" for k in range(9))
+    rows = [(i, f"a{i} {passage} b{i} {passage} c{i} {passage} " + "x " * (9 + i % 3)) for i in range(40)]
+    rows += [(50, rows[7][1] + "tail"), (7, rows[7][1]), (7, rows[7][1] + passage)]
+    assert run(spark, rows, window=7, group_suffixes=40) == brute(rows, 7)
+
+
 def test_very_long_text_is_cut_into_segments(monkeypatch):
     monkeypatch.setattr(substrings, "_SEGMENT", 10)
     part = substrings._Words([1], [2], [b" ".join(b"%d" % i for i in range(57))], 5)

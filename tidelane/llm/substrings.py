@@ -177,14 +177,15 @@ def _counts(docs: DataFrame, window: int) -> tuple[int, list[np.ndarray]]:
     return total, [np.array(sorted(r["bucket"] for r in got if r["level"] == k), np.int64) for k in range(len(PREFIXES) + 1)]
 
 
-_RUNS = "g long, round int, docs binary, owner binary, start binary, text binary"
+#: ``many`` holds how many places of its document each run of text stands at; null for one each.
+_RUNS = "g long, round int, docs binary, owner binary, start binary, text binary, many binary"
 
 
-def _emit(pack, g, salted, docs, owner, start, parts) -> tuple:
-    """One row: the runs of a slice that belong to a group."""
+def _emit(pack, g, salted, docs, owner, start, parts, many=None) -> tuple:
+    """One row: the runs of a slice that belong to a group, ``start`` with ``many`` places of each."""
     used, owner = np.unique(owner, return_inverse=True)
     ids = np.array([docs[k] for k in used.tolist()], "<i8").tobytes()
-    return g, salted, pack(ids), pack(owner.astype("<u4").tobytes()), pack(start.astype("<i8").tobytes()), pack(b"\n".join(parts))
+    return g, salted, pack(ids), pack(owner.astype("<u4").tobytes()), pack(start.astype("<i8").tobytes()), pack(b"\n".join(parts)), None if many is None else pack(many.astype("<i8").tobytes())
 
 
 def _deal(docs: DataFrame, groups: int, hot: list[np.ndarray], window: int) -> DataFrame:
@@ -235,8 +236,8 @@ def _deal(docs: DataFrame, groups: int, hot: list[np.ndarray], window: int) -> D
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["g", "round", "docs", "owner", "start", "text"])
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["g", "round", "docs", "owner", "start", "text", "many"])
 
 
 class Subtree:
@@ -286,56 +287,68 @@ class Subtree:
         return np.concatenate([[0], np.cumsum(self.lcp < depth)]) if len(self.suffix) else np.zeros(0, np.int64)
 
 
-_FOUND = "kind int, doc_id long, mark long, spans binary, g long, docs binary, owner binary, start binary, text binary"
+_FOUND = "kind int, doc_id long, mark long, spans binary, g long, docs binary, owner binary, start binary, text binary, many binary"
 
 
 def _repeats(window: int):
     def run(table: pa.Table) -> pa.Table:
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
-        docs, owner, start, lines, salted = [], [], [], [], False
+        docs, owner, start, many, lines, salted = [], [], [], [], [], False
         n = 0
         for row in table.to_pylist():
             held = np.frombuffer(unpack(row["docs"]), "<i8").reshape(-1, 2)
             docs.append(held)
             owner.append(np.frombuffer(unpack(row["owner"]), "<u4").astype(np.int64) + n)
             start.append(np.frombuffer(unpack(row["start"]), "<i8"))
+            many.append(np.ones(len(owner[-1]), np.int64) if row["many"] is None else np.frombuffer(unpack(row["many"]), "<i8"))
             lines.append(unpack(row["text"]))
             salted |= bool(row["round"])
             n += len(held)
-        docs, owner, start = np.concatenate(docs), np.concatenate(owner), np.concatenate(start)
+        docs, owner, start, many = np.concatenate(docs), np.concatenate(owner), np.concatenate(start), np.concatenate(many)
         tree = Subtree(Text(b"\n".join(lines)), window)
-        who, at = owner[tree.run[tree.suffix]], start[tree.run[tree.suffix]] + tree.within[tree.suffix]
-        node = tree.deep_nodes(window)
+        suffix, node = tree.suffix, tree.deep_nodes(window)
         rows: list[tuple] = []
         if salted:  # the first holder of every window, repeated here or not, goes on to the next round
-            node, who, at, place = _all_windows(tree, node, owner, start)
+            suffix, node = _all_windows(tree, node)
+        who = owner[tree.run[suffix]]
         if len(node):
             heads = np.flatnonzero(np.diff(node, prepend=-1))
             least = np.minimum.reduceat(docs[who, 0], heads)[node]
             if salted:
                 ahead = np.flatnonzero(docs[who, 0] == least)
-                ahead = ahead[np.unique(np.stack([node[ahead], docs[who[ahead], 1]]), axis=1, return_index=True)[1]]
-                text = tree.text
-                texts = [text.joined[text.starts[p] : text.ends[p + window - 1]] for p in place[ahead].tolist()]
-                _, _, *packed = _emit(pack, 0, 0, [tuple(x) for x in docs.tolist()], who[ahead], at[ahead], texts)
+                at = start[tree.run[suffix[ahead]]] + tree.within[suffix[ahead]]
+                # a holder's text goes once, with every place where it stands
+                order = np.lexsort((at, docs[who[ahead], 1], node[ahead]))
+                ahead, at = ahead[order], at[order]
+                new = np.append(True, (np.diff(node[ahead]) != 0) | (np.diff(docs[who[ahead], 1]) != 0))
+                fresh = new | np.append(True, np.diff(at) != 0)  # equal rows of one id count once
+                ahead, at, heads, text = ahead[new], at[fresh], np.flatnonzero(new[fresh]), tree.text
+                texts = [text.joined[text.starts[p] : text.ends[p + window - 1]] for p in tree.place[suffix[ahead]].tolist()]
+                _, _, *packed = _emit(pack, 0, 0, [tuple(x) for x in docs.tolist()], who[ahead], at, texts, np.diff(np.append(heads, len(at))))
                 rows.append((1, None, None, None, int(table.column("g")[0].as_py()), *packed))
-            late = docs[who, 0] > least
-            rows += _spans(docs, who[late], at[late])
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        names = ["kind", "doc_id", "mark", "spans", "g", "docs", "owner", "start", "text"]
+            late = np.flatnonzero(docs[who, 0] > least)
+            run = tree.run[suffix[late]]
+            late, places = np.repeat(late, many[run]), _ranges((np.cumsum(many) - many)[run], many[run])
+            rows += _spans(docs, who[late], start[places] + tree.within[suffix[late]])
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), *[pa.binary()] * 5)
+        names = ["kind", "doc_id", "mark", "spans", "g", "docs", "owner", "start", "text", "many"]
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     return run
 
 
-def _all_windows(tree: Subtree, node, owner, start):
-    """Nodes of every suffix of a salted group: leaves become nodes of their own."""
+def _ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each range, one range after another."""
+    return np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts)
+
+
+def _all_windows(tree: Subtree, node):
+    """Every suffix of a salted group and its node: leaves become nodes of their own."""
     lone = np.ones(len(tree.place), bool)
     lone[tree.suffix] = False
     lone = np.flatnonzero(lone)
-    every = np.concatenate([tree.suffix, lone])
     extra = np.arange(len(lone)) + (node[-1] + 1 if len(node) else 0)
-    return np.concatenate([node, extra]), owner[tree.run[every]], start[tree.run[every]] + tree.within[every], tree.place[every]
+    return np.concatenate([tree.suffix, lone]), np.concatenate([node, extra])
 
 
 def _spans(docs, who, at) -> list[tuple]:
@@ -351,7 +364,7 @@ def _spans(docs, who, at) -> list[tuple]:
     ranges = np.stack([at[heads], last], axis=1).astype("<i8")
     owner = who[heads]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]]).tolist()
-    return [(0, int(docs[owner[a], 0]), int(docs[owner[a], 1]), ranges[a:b].tobytes(), *[None] * 5) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [(0, int(docs[owner[a], 0]), int(docs[owner[a], 1]), ranges[a:b].tobytes(), *[None] * 6) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
@@ -369,7 +382,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     if not len(hot[-1]):
         return found.select("doc_id", "mark", "spans")
     found = save(found, "salted-runs")
-    again = found.where("kind = 1").select("g", F.lit(0).alias("round"), "docs", "owner", "start", "text")
+    again = found.where("kind = 1").select("g", F.lit(0).alias("round"), "docs", "owner", "start", "text", "many")
     again = save(again.mapInArrow(_regroup(groups, window), _RUNS), "second-round").groupBy("g", "round").applyInArrow(_repeats(window), _FOUND)
     return found.where("kind = 0").unionByName(again).select("doc_id", "mark", "spans")
 
@@ -386,11 +399,13 @@ def _regroup(groups: int, window: int):
             for row in batch.to_pylist():
                 docs = [tuple(x) for x in np.frombuffer(unpack(row["docs"]), "<i8").reshape(-1, 2).tolist()]
                 owner, start = np.frombuffer(unpack(row["owner"]), "<u4"), np.frombuffer(unpack(row["start"]), "<i8")
+                many = np.frombuffer(unpack(row["many"]), "<i8")
+                begin = np.cumsum(many) - many
                 texts = unpack(row["text"]).split(b"\n")
                 group = np.array([xxhash.xxh3_64_intdigest(x) % groups for x in texts])
                 for g in np.unique(group).tolist():
                     mine = np.flatnonzero(group == g)
-                    rows.append(_emit(pack, g, 0, docs, owner[mine], start[mine], [texts[k] for k in mine.tolist()]))
+                    rows.append(_emit(pack, g, 0, docs, owner[mine], start[_ranges(begin[mine], many[mine])], [texts[k] for k in mine.tolist()], many[mine]))
             if rows:
                 yield _batch(rows)
 
