@@ -63,6 +63,19 @@ def test_disguises_are_seen_through():
     assert model.signals(b"a plain text, 123 ###")[0] == 0.0
 
 
+def test_spaced_out_words_beside_other_letters():
+    text = "you are a moron and idiot you loser y idiota a git in the end o tonta a stupid git you"
+    model = toxicity.Words(model_of([text] * 20), {"moron": 4.0, "idiot": 5.0, "idiota": 6.0, "git": 3.0})
+    for run, weights in {"a m o r o n": [4], "y i d i o t a": [6], "i d i o t y o u": [5], "g i t": [3], "i d i o t m o r o n": [5, 4], "a m 0 r 0 n": [4], "y o u": [], "y o": []}.items():
+        got = model.signals(f"well, {run} then".encode())
+        assert got == (max(weights, default=0), sum(weights)), run
+
+
+def test_long_runs_of_letters_take_linear_time():
+    run = "a b o u t " * 20_000
+    assert len(model_of(["what is it about"]).readings(run.strip(), bounds=True)[0].replace(" ", "")) == 100_000
+
+
 def corpus():
     rng = np.random.default_rng(3)
     docs, labels = [], []

@@ -4,7 +4,9 @@ Noisy channel: a word that looks disguised (digits or signs between letters,
 letters repeated three times or more, separators inside, letters spaced out) is a
 lattice of characters.  Each observed character may stand for itself, for the
 letters it resembles, or for nothing (separators, repetitions); a Viterbi search
-takes the path that a character trigram language model finds most likely.
+takes the path that a character trigram language model finds most likely.  In a
+run of spaced-out letters the path may also end a word at any space, and every
+word of it counts.
 
 The language model counts trigrams over all texts.  Word weights are log-odds of
 words and word beginnings in toxic and clean documents, shrunk so that rare words
@@ -18,6 +20,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +73,14 @@ def trigram_counts(texts: list[str | None], table: np.ndarray) -> np.ndarray:
     return total
 
 
+def _spelled(text: tuple | None) -> str:
+    letters = []
+    while text:
+        text, letter = text
+        letters.append(letter)
+    return "".join(reversed(letters))
+
+
 class CharacterModel:
     """Log-probabilities of a letter after two others, smoothed towards shorter contexts."""
 
@@ -87,22 +98,23 @@ class CharacterModel:
             return ord(letter) - 96
         return 27 + ord(letter) % 37 if letter.isalpha() else 0
 
-    def readings(self, word: str) -> list[str]:
+    def readings(self, word: str, bounds: bool = False) -> list[str]:
         """The best readings of an observed word, the most likely first.
 
         Exact Viterbi over states of the last two letters; one reading is left
-        for each pair of last letters.
+        for each pair of last letters.  With ``bounds`` a space may end a word.
         """
         logs, code = self.logs, self.code
         # state: two last codes, last letter -> score, text; two boundaries to begin with
-        states: dict[tuple, tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+        # a text is its last letter and the text before, so that long runs take linear time
+        states: dict[tuple, tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
         before = ""
         for c in word.lower():
             letters, absent = (c, None) if c.isalpha() else (RESEMBLES.get(c, ""), _NO_SIGN if c in RESEMBLES else _NO_SEPARATOR)
             if c == before:
                 absent = _NO_REPEAT if absent is None else min(absent, _NO_REPEAT)
             extra = 0.0 if c.isalpha() else _AS_LETTER
-            new: dict[tuple, tuple[float, str]] = {}
+            new: dict[tuple, tuple[float, tuple | None]] = {}
             for (a, b, last), (score, text) in states.items():
                 if absent is not None:
                     key, value = (a, b, last), score - absent
@@ -112,9 +124,13 @@ class CharacterModel:
                     k = code(letter)
                     key, value = (b, k, letter), score + logs[(a * _CODES + b) * _CODES + k] + _PER_LETTER - extra
                     if key not in new or new[key][0] < value:
-                        new[key] = (value, text + letter)
+                        new[key] = (value, (text, letter))
+                if bounds and c == " " and b:
+                    key, value = (b, 0, ""), score - absent + logs[(a * _CODES + b) * _CODES]
+                    if key not in new or new[key][0] < value:
+                        new[key] = (value, (text, " "))
             states, before = new, c
-        ends = sorted(((-score - logs[(a * _CODES + b) * _CODES], text) for (a, b, _), (score, text) in states.items() if text))
+        ends = sorted(((-score - logs[(a * _CODES + b) * _CODES], _spelled(text)) for (a, b, _), (score, text) in states.items() if text))
         return list(dict.fromkeys(text for _, text in ends))[:4]
 
 
@@ -126,29 +142,22 @@ def disguised(core: str) -> bool:
     return any(c.isalpha() for c in core)
 
 
-def spaced_out(words: list[bytes]) -> list[str]:
-    """Runs of four or more words of one character each, as one string."""
-    if len(words) < 4:
-        return []
-    size = np.fromiter(map(len, words), np.int32, len(words))
-    short = size <= 2
-    if not short.any():
+@lru_cache(1 << 16)
+def _single(word: bytes) -> str:
+    """The character of a word of one, which a mark may follow; else nothing."""
+    t = word.decode("utf-8", "replace")
+    return t[0] if len(t) == 1 or (len(t) == 2 and t[1] in ".,;:!?" and t[0].isalnum()) else ""
+
+
+def spaced_out(words: list[bytes], distinct: set[bytes] | None = None) -> list[str]:
+    """Runs of two or more words of one character each, as one string."""
+    singles = {w: c for w in (set(words) if distinct is None else distinct) if len(w) < 6 and (c := _single(w))}
+    if not singles:
         return []
-    edge = np.diff(np.concatenate([[0], short.astype(np.int8), [0]]))
-    out = []
-    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-        if b - a < 4:
-            continue
-        run: list[str] = []
-        for w in [*words[a:b], b"  "]:
-            t = w.decode("utf-8", "replace")
-            if len(t) == 1 or (len(t) == 2 and t[1] in ".,;:!?" and t[0].isalnum()):
-                run.append(t[0])
-            else:
-                if len(run) >= 4:
-                    out.append(" ".join(run))
-                run = []
-    return out
+    at = [i for i, w in enumerate(words) if w in singles]
+    cuts = [0, *[k for k in range(1, len(at)) if at[k] != at[k - 1] + 1], len(at)]
+    runs = [[singles[words[i]] for i in at[a:b]] for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1]
+    return [" ".join(run) for run in runs if any(c.isalpha() for c in run)]
 
 
 def features(word: str) -> list[str]:
@@ -178,6 +187,17 @@ class Words:
         get = self.weights.get
         return max((get(f, 0.0) for r in self.restored(word) for f in features(r)), default=0.0)
 
+    def spaced(self, run: str) -> list[float]:
+        """Weights of the words in a run of spaced-out letters, under its weightiest reading."""
+        got = self.memory.get(run)
+        if got is None:
+            get, channel = self.weights.get, self.channel
+            found = [[max(get(f, 0.0) for f in features(w)) for w in r.split()] for r in (*channel.readings(run), *channel.readings(run, bounds=True))]
+            got = [w for w in max(found, key=sum, default=[]) if w]
+            if len(run) < 64 and len(self.memory) < CACHED_WORDS:
+                self.memory[run] = got
+        return got
+
     def of(self, word: bytes) -> float:
         got = self.memory.get(word)
         if got is None:
@@ -189,11 +209,12 @@ class Words:
     def signals(self, raw: bytes | None) -> tuple[float, float]:
         """Strongest weight and the sum of the eight strongest, over all words of the text."""
         words = raw.split() if raw else []
-        distinct = list(set(words))
+        own = set(words)
+        distinct = list(own)
         weights = list(map(self.memory.get, distinct))
         found = [(self.of(w) if x is None else x, w) for x, w in zip(weights, distinct, strict=True) if x is None or x]
         top = [x for x, w in found if x for _ in range(words.count(w))]
-        top += [w for w in (self.weight(x) for x in spaced_out(words)) if w]
+        top += [w for x in spaced_out(words, own) for w in self.spaced(x)]
         top = sorted(top, reverse=True)[:8]
         return (top[0] if top else 0.0), sum(top)
 
@@ -236,7 +257,8 @@ class Model:
     def _restored(self, raw: bytes) -> set[str]:
         words = raw.split()
         known = {r for w in {w.decode("utf-8", "replace") for w in words} for r in self.words.restored(w)[:1]}
-        return known | {r for s in spaced_out(words) for r in self.words.channel.readings(s)[:1]}
+        read = self.words.channel.readings
+        return known | {w for s in set(spaced_out(words)) for r in (read(s)[:1], read(s, bounds=True)[:1]) for x in r for w in x.split()}
 
     @staticmethod
     def _weights(tokens: list[list[str]], y: np.ndarray) -> dict[str, float]:
