@@ -35,6 +35,30 @@ def test_views_teach_each_other():
     assert ((model.score(text, meta) > 0.5) == y).mean() > 0.97
 
 
+def test_pools_agree_and_edges_count(spark):
+    rng = np.random.default_rng(5)
+    views = [rng.normal(size=(500, n)).astype(np.float16).astype(np.float32) for n in quality._SIZES]
+    weights = [rng.normal(size=n + 1).astype(np.float32) / 6 for n in quality._SIZES]
+    rows = spark.createDataFrame([(x.astype(np.float16).tobytes(), y.astype(np.float16).tobytes()) for x, y in zip(*views, strict=True)], "t binary, m binary").repartition(3)
+    steps = [[(w, (quality.BINS // 40, 0.5), (-1, 0.0)) for w in weights]]
+    for near, far in ((quality.Pool(views), quality.SparkPool(rows)),):
+        assert np.allclose(near.certain(steps, weights), far.certain(steps, weights))
+        assert np.allclose(near.moments(steps, weights), far.moments(steps, weights), rtol=1e-3, atol=1e-2)
+    assert quality._edge(np.array([5, 4, 2]), 4) == (1, 0.5)
+    assert quality._edge(np.array([5, 4, 2]), 11) == (-1, 0.0)
+
+
+def test_all_unlabelled_documents_take_part(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MOST_UNLABELLED", 50, raising=False)
+    docs, labels = corpus()
+    docs += [(d + 1000, f"{t} {d}", "en", "rare", None) for d, t, *_ in docs[:300]]
+    seen = []
+    model = quality.Model
+    monkeypatch.setattr(quality, "Model", lambda *a, pool=None, **k: seen.append(pool.rows.count() if pool else int((a[2] < 0).sum())) or model(*a, pool=pool, **k))
+    quality.fit(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, LABELS))
+    assert seen == [100 + 1 + 300]  # a null and an empty text have like features; a null id teaches nothing
+
+
 def corpus():
     rng = np.random.default_rng(3)
     docs, labels = [], []

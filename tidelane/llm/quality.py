@@ -7,8 +7,13 @@ it is most certain of, as many per class as the labels' balance gives, for the
 other view to learn from.  At the end both views are calibrated on labelled
 documents that took no part, and every document gets the combined probability.
 
-The classifiers are logistic regressions, fitted on the driver from bounded
-samples of feature rows; all documents are scored whole.
+The classifiers are logistic regressions.  Labelled rows are a bounded sample on
+the driver; all unlabelled documents take part.  Their feature rows stay on the
+executors, which send sums: histograms of certainty, from which the thresholds of
+each class follow, and the losses, gradients and second derivatives that Newton's
+method takes over the pseudo-labelled rows.  What a row has been labelled follows
+from the rounds' weights and thresholds, so it is not stored.  All documents are
+scored whole.
 """
 
 from __future__ import annotations
@@ -21,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import as_bytes, col, slices
+from tidelane.llm.common import as_bytes, col, release, save, slices
 
-#: Labelled and unlabelled documents that are learnt from, those with the least id hashes.
-MOST_LABELLED, MOST_UNLABELLED = 4000, 4000
+#: Labelled documents that are learnt from, those with the least id hashes.
+MOST_LABELLED = 4000
 #: Buckets of hashed words and of hashed metadata; statistics beside each.
 WORDS, CATEGORIES = 512, 256
 ROUNDS, CERTAIN, SHARE = 5, 0.9, 0.1
 THRESHOLD = 0.5
+#: Bins of certain logits; passes of Newton's method in a round at most; rows of a block of sums.
+BINS, PASSES, _BLOCK = 4096, 6, 8192
+_LEAST_LOGIT = float(np.log(CERTAIN / (1 - CERTAIN)))
 #: Share of the labelled documents that calibrates the views.
 CALIBRATION = 0.25
 CACHED_WORDS = 400_000
@@ -99,11 +107,142 @@ def _probability(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _bins(z: np.ndarray) -> np.ndarray:
+    """Bins of logits, the least certain first; -1 for what is not certain enough."""
+    at = np.floor((np.minimum(z, 30) - _LEAST_LOGIT) * (BINS / (30 - _LEAST_LOGIT)))
+    return np.where(z >= _LEAST_LOGIT, np.clip(at, 0, BINS - 1), -1).astype(np.int64)
+
+
+def _edge(histogram: np.ndarray, n: int) -> tuple[int, float]:
+    """The bin above which all rows count among the ``n`` most certain, and the share of that bin that does."""
+    above = np.cumsum(histogram[::-1])[::-1]
+    if above[0] <= n:
+        return -1, 0.0
+    at = int(np.flatnonzero(above > n)[-1])
+    return at, float((n - (above[at] - histogram[at])) / histogram[at])
+
+
+def _taught(views: list[np.ndarray], steps: list) -> list[np.ndarray]:
+    """For each view the labels (or -1) that unlabelled rows got from the other view in the rounds so far."""
+    own = [np.full(len(views[0]), -1) for _ in views]
+    # a bin's rows are taken in the order of a hash of their features
+    place = np.array([zlib.crc32(x.tobytes()) for x in views[0].astype(np.float16)], np.float64) / 2**32 if steps else None
+    for step in steps:
+        for k, (w, *edges) in enumerate(step):
+            z, other = logit(views[k], w), own[1 - k]
+            free = other < 0
+            for label, sign, (edge, share) in ((1, 1, edges[0]), (0, -1, edges[1])):
+                at = _bins(sign * z)
+                other[free & (at >= 0) & ((at > edge) | ((at == edge) & (place < share)))] = label
+    return own
+
+
+def _certain(views: list[np.ndarray], steps: list, weights: list) -> np.ndarray:
+    """For each view: rows that the other has not labelled, and histograms of their certain logits per class."""
+    out = []
+    for k, other in enumerate(_taught(views, steps)[::-1]):
+        z = logit(views[k], weights[k])[other < 0]
+        out += [[len(z)], *[np.bincount(at[at >= 0], minlength=BINS) for at in (_bins(z), _bins(-z))]]
+    return np.concatenate(out).astype(np.float64)
+
+
+def _moments(views: list[np.ndarray], own: list[np.ndarray], weights: list) -> np.ndarray:
+    """For each view and class: rows, loss, gradient and second derivatives (lower triangle) at the weights."""
+    out = []
+    for x, y, w in zip(views, own, weights, strict=True):
+        low = np.tril_indices(x.shape[1] + 1)
+        for label in (0, 1):
+            part = x[y == label]
+            part = np.hstack([part, np.ones((len(part), 1), part.dtype)])
+            z = part @ w
+            p = _probability(z)
+            loss = np.logaddexp(0, -z if label else z).sum()
+            out += [[len(part), loss], part.T @ (p - label), ((part * (p * (1 - p)).astype(part.dtype)[:, None]).T @ part)[low]]
+    return np.concatenate(out).astype(np.float64)
+
+
+class Pool:
+    """Unlabelled rows in memory: sums over them."""
+
+    def __init__(self, views: list[np.ndarray]) -> None:
+        self.views = views
+
+    def certain(self, steps: list, weights: list) -> np.ndarray:
+        return _certain(self.views, steps, weights)
+
+    def moments(self, steps: list, weights: list) -> np.ndarray:
+        return _moments(self.views, _taught(self.views, steps), weights)
+
+
+class SparkPool:
+    """Unlabelled feature rows (columns t and m) on the executors: sums over them."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows = rows
+
+    def certain(self, steps: list, weights: list) -> np.ndarray:
+        return self._total(lambda views: _certain(views, steps, weights))
+
+    def moments(self, steps: list, weights: list) -> np.ndarray:
+        return self._total(lambda views: _moments(views, _taught(views, steps), weights))
+
+    def _total(self, sums) -> np.ndarray:
+        """Sums of a task, in blocks, are added up by block before they come to the driver."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0
+            for batch in batches:
+                if batch.num_rows:
+                    total = total + sums([_unpacked(batch.column(k).to_pylist(), n) for k, n in enumerate(_SIZES)])
+            if not np.isscalar(total):
+                blocks = [total[at : at + _BLOCK].tobytes() for at in range(0, len(total), _BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "sums"])
+
+        def add(table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x) for x in table.column("sums").to_pylist())
+            return pa.table({"block": table.column("block")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+        got = self.rows.mapInArrow(run, "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary").collect()
+        if not got:
+            return sums([np.zeros((0, n), np.float32) for n in _SIZES])
+        return np.concatenate([np.frombuffer(r["sums"]) for r in sorted(got)])
+
+
+def _newton(views: list[np.ndarray], own: list[np.ndarray], pool, steps: list, weights: list, ridge: float = 1e-3) -> list[np.ndarray]:
+    """Minimise the class-balanced, ridge-penalised loss of labelled and pseudo-labelled rows for each view."""
+    here, best = [w.astype(np.float64) for w in weights], [None for _ in weights]
+    for _ in range(PASSES):
+        total = _moments(views, own, here) + pool.moments(steps, here)
+        at = 0
+        for k, w in enumerate(here):
+            n, keep, low = len(w), np.append(np.full(len(w) - 1, ridge), 0.0), np.tril_indices(len(w))
+            loss, grad, second = keep @ w**2 / 2, keep * w, np.zeros((n, n))
+            for _ in (0, 1):
+                rows = max(total[at], 1)
+                loss, grad = loss + total[at + 1] / rows / 2, grad + total[at + 2 : at + 2 + n] / rows / 2
+                second[low] += total[at + 2 + n : at + 2 + n + len(low[0])] / rows / 2
+                at += 2 + n + len(low[0])
+            if best[k] is None or loss <= best[k][0]:
+                second = second + np.tril(second, -1).T + np.diag(keep + 1e-8)
+                best[k] = loss, w, np.linalg.solve(second, grad)
+            else:  # too far: half the step
+                best[k] = best[k][0], best[k][1], best[k][2] / 2
+        here = [w - step for _, w, step in best]
+        if max(np.abs(step).max() / (1 + np.abs(w).max()) for _, w, step in best) < 1e-2:
+            break
+    else:
+        here = [w for _, w, _ in best]
+    return [w.astype(np.float32) for w in here]
+
+
 class Model:
     """Both views' weights, and the calibration that combines them."""
 
-    def __init__(self, text: np.ndarray, metadata: np.ndarray, labels: np.ndarray, calibrates: np.ndarray, rounds: int = ROUNDS) -> None:
-        """``labels`` holds 0, 1 or -1 for an unlabelled row; ``calibrates`` marks labelled rows kept apart."""
+    def __init__(self, text: np.ndarray, metadata: np.ndarray, labels: np.ndarray, calibrates: np.ndarray, rounds: int = ROUNDS, pool=None) -> None:
+        """``labels`` holds 0, 1 or -1 for an unlabelled row; ``calibrates`` marks labelled rows kept apart.
+
+        Unlabelled rows are those of ``pool``, if there is one.
+        """
         known = (labels >= 0) & ~calibrates
         self.base = float((labels[labels >= 0] == 1).mean()) if (labels >= 0).any() else 0.5
         self.weights: list[np.ndarray] | None = None
@@ -111,29 +250,29 @@ class Model:
         if len(set(labels[known].tolist())) < 2:
             return
         views, share = [text, metadata], float((labels[known] == 1).mean())
-        own = [np.where(known, labels, -1) for _ in views]
+        if pool is None:
+            pool = Pool([x[(labels < 0) & ~calibrates] for x in views])
+        learnt, own, steps = [x[known] for x in views], [labels[known] for _ in views], []
+        weights = [self._fit(x, y) for x, y in zip(learnt, own, strict=True)]
         for _ in range(rounds):
-            fitted = [self._fit(x, y, share) for x, y in zip(views, own, strict=True)]
-            for k, (x, w) in enumerate(zip(views, fitted, strict=True)):
-                other = own[1 - k]
-                free = np.flatnonzero((other < 0) & ~calibrates)
-                p = _probability(logit(x[free], w))
-                most = max(1, int(SHARE * len(free)))
-                for label, certainty, n in ((1, p, max(1, round(most * share))), (0, 1 - p, max(1, round(most * (1 - share))))):
-                    best = np.argsort(-certainty, kind="stable")[:n]
-                    best = best[certainty[best] >= CERTAIN]
-                    other[free[best]] = label
-                    self.taught[1 - k] += len(best)
-        self.weights = [self._fit(x, y, share) for x, y in zip(views, own, strict=True)]
+            found, step = pool.certain(steps, weights), []
+            for k, w in enumerate(weights):
+                free, *histograms = np.split(found[k * (1 + 2 * BINS) :][: 1 + 2 * BINS], [1, 1 + BINS])
+                most = max(1, int(SHARE * free[0]))
+                counts = [max(1, round(most * share)), max(1, round(most * (1 - share)))]
+                step.append((w, *[_edge(h, n) for h, n in zip(histograms, counts, strict=True)]))
+                self.taught[1 - k] += int(sum(min(h.sum(), n) for h, n in zip(histograms, counts, strict=True)))
+            steps.append(step)
+            weights = _newton(learnt, own, pool, steps, weights)
+        self.weights = weights
         apart = (labels >= 0) & (calibrates if len(set(labels[calibrates & (labels >= 0)].tolist())) == 2 else ~calibrates)
         z = np.stack([logit(x[apart], w) for x, w in zip(views, self.weights, strict=True)], axis=1)
         self.scale = np.abs(z).mean(axis=0) + 1e-9
         self.combine = logistic(z / self.scale, labels[apart], np.ones(apart.sum()), ridge=1e-4)
 
     @staticmethod
-    def _fit(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
-        at = y >= 0
-        return logistic(x[at], y[at], np.where(y[at] == 1, 1 / max((y[at] == 1).sum(), 1), 1 / max((y[at] == 0).sum(), 1)))
+    def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return logistic(x, y, np.where(y == 1, 1 / max((y == 1).sum(), 1), 1 / max((y == 0).sum(), 1)))
 
     def score(self, text: np.ndarray, metadata: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -158,6 +297,17 @@ def _text_features() -> TextFeatures:
     return _FEATURES
 
 
+_SIZES = TextFeatures.size, CATEGORIES + _METADATA_STATISTICS
+
+
+def _packed(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())
+
+
+def _unpacked(rows: list[bytes], n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.float16).reshape(-1, n).astype(np.float32)
+
+
 def _rows(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
     """Features of a batch whose columns from ``at`` are language, source and text."""
     raws = as_bytes(batch.column(at + 2))
@@ -168,30 +318,36 @@ def _rows(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> Model:
-    """Co-train on bounded samples; feature rows, not texts, come to the driver.
+    """Co-train on a bounded sample of labelled and on all unlabelled documents.
 
     A null label or id teaches nothing, nor does an id with both labels.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z"))
     some = known.where((F.col("y") == F.col("z")) & ~held_out(F.col("id"))).select("id", "y").orderBy(F.xxhash64("id"), "id").limit(MOST_LABELLED)
-    ids = docs.select(col(doc_id).cast("long").alias("id")).where("id IS NOT NULL").join(known.select("id"), "id", "left_anti")
-    free = ids.orderBy(F.xxhash64("id"), "id").limit(MOST_UNLABELLED).select("id", F.lit(-1).alias("y")).distinct()
-    chosen = F.broadcast(some.unionByName(free))
-    rows = docs.select(col(doc_id).cast("long").alias("id"), col(lang).cast("string").alias("lang"), col(source).cast("string").alias("source"), col(text).cast("string").alias("text")).join(chosen, "id")
+    rows = docs.select(col(doc_id).cast("long").alias("id"), col(lang).cast("string").alias("lang"), col(source).cast("string").alias("source"), col(text).cast("string").alias("text")).where("id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):
-            t, m = _rows(batch, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype(np.float16).tobytes() for x in t], pa.binary()), pa.array([x.astype(np.float16).tobytes() for x in m], pa.binary())], names=["id", "y", "t", "m"])
+            t, m = _rows(batch, 1)
+            yield pa.RecordBatch.from_arrays([_packed(t), _packed(m), batch.column(0)], names=["t", "m", "y"])
+
+    def features(chosen: DataFrame) -> DataFrame:
+        return chosen.select("y", "lang", "source", "text").mapInArrow(run, "t binary, m binary, y long")
 
-    got = rows.select("id", "y", "lang", "source", "text").mapInArrow(run, "id long, y int, t binary, m binary").toArrow()
     # copies of a text teach once
-    order = sorted({(bytes(t), bytes(m), y) for t, m, y in zip(*(got.column(k).to_pylist() for k in ("t", "m", "y")), strict=True)})
-    shape = lambda k, n: np.stack([np.frombuffer(r[k], np.float16) for r in order]).astype(np.float32) if order else np.zeros((0, n), np.float32)
+    got = features(rows.join(F.broadcast(some.withColumn("y", F.col("y").cast("long"))), "id")).distinct().toArrow()
+    order = sorted((bytes(t), bytes(m), y) for t, m, y in zip(*(got.column(k).to_pylist() for k in ("t", "m", "y")), strict=True))
     y = np.array([r[2] for r in order], np.int64)
-    apart = (y >= 0) & np.array([zlib.crc32(r[0]) % 1000 < 1000 * CALIBRATION for r in order], bool)
-    return Model(shape(0, TextFeatures.size), shape(1, CATEGORIES + _METADATA_STATISTICS), y, apart)
+    apart = np.array([zlib.crc32(r[0]) % 1000 < 1000 * CALIBRATION for r in order], bool)
+    if len(set(y[~apart].tolist())) < 2:  # nothing that the views could teach
+        return Model(*[_unpacked([r[k] for r in order], n) for k, n in enumerate(_SIZES)], y, apart, pool=Pool([np.zeros((0, n), np.float32) for n in _SIZES]))
+    # ids meet the labels beside features, so that no texts are shuffled, however many labels there are
+    free = features(rows.withColumn("y", F.col("id"))).withColumnRenamed("y", "id").join(known.select("id").hint("merge"), "id", "left_anti")
+    free = save(free.select("t", "m").distinct(), "unlabelled-features")
+    model = Model(*[_unpacked([r[k] for r in order], n) for k, n in enumerate(_SIZES)], y, apart, pool=SparkPool(free))
+    release(free)
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", threshold: float = THRESHOLD, model: Model | None = None) -> DataFrame:
