@@ -74,6 +74,15 @@ def test_very_long_text_is_cut_into_segments(monkeypatch):
     assert (part.start + part.base).tolist() == list(range(53))
 
 
+def test_places_beyond_their_bits_leave_hashes_alone(monkeypatch):
+    monkeypatch.setattr(substrings, "_LOW", np.uint64((1 << 5) - 1))
+    words = [b"%d" % (i % 50) for i in range(2000)]
+    part = substrings._Words([1], [2], [b" ".join(words)], 13)
+    for n in (2, 5, 13):
+        high = part.anchors(n) & ~substrings._LOW
+        assert (high[:-50] == high[50:]).all()
+
+
 def test_sorted_suffixes_have_their_common_prefixes():
     tree = substrings.Subtree(substrings.Text(b"a b c d\nx a b c d\na b c e"), 3)
     node = tree.deep_nodes(3)

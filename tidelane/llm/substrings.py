@@ -39,7 +39,7 @@ PREFIXES = (2, 5)
 GROUP_SUFFIXES = 700_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BUCKETS = 1 << 20
-#: Places fit the low 24 bits of a packed hash.
+#: Places take the low 24 bits of a packed hash; they tell neighbours apart, so they may wrap.
 _SEGMENT = 4_000_000
 _LOW = np.uint64((1 << 24) - 1)
 _SALTS = 64
@@ -138,14 +138,14 @@ class _Words:
         self.window = window
 
     def anchors(self, n: int) -> np.ndarray:
-        """For each window, the least n-gram hash (high 40 bits) and its place (low 24)."""
+        """For each window, the least n-gram hash (high 40 bits) and its place modulo 2**24."""
         grams = _grams(self.text.h, n)
-        packed = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
+        packed = (grams & ~_LOW) | (np.arange(len(grams), dtype=np.uint64) & _LOW)
         return _least(packed, self.window - n + 1)[self.start]
 
 
 def _parts(batches, window):
-    """Slices of (doc_id, row mark, text) batches as _Words, each short of 2**24 words."""
+    """Slices of (doc_id, row mark, text) batches as _Words; one text makes one, however long."""
     for batch in slices(batches, 4 << 20):
         keys, marks, raws = batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))
         got = _Words(keys, marks, raws, window)
