@@ -4,24 +4,32 @@ A line's tokens are its distinct five-word shingles (a shorter line is one token
 A line goes if an earlier one, by doc_id and place, has a Jaccard similarity of
 ``similarity`` or more.
 
-Equal lines are collapsed first.  The tokens of what is left are ordered by
-rarity: counts over all lines in ``RANKS`` hash buckets, the rarest bucket first.
-Similar lines share a token among their first k - ceil(t k) + 1; the join on those
-prefixes passes pairs that the length and positional filters allow, and each pair
-is verified on the shingles' words.  A token that many lines share is joined in
-two steps, so that no list of lines is paired out without need: every line is
-first tried against the earliest line of each of its tokens, and only lines that
-this does not decide meet the rest.
+Equal lines are collapsed first.  A line of k tokens has no similar one if
+k - ceil(t k) + 1 of its tokens stand in no other line.  Tokens whose first two words
+hash into the first ``CLASS`` of 1024 parts are counted exactly over all lines; a
+line that shows enough lonely tokens among these leaves before anything else is made
+of it.
+
+The tokens of the lines that stay are ordered by rarity: counts in ``RANKS`` hash
+buckets, the rarest bucket first.  Similar lines share a token among their first
+k - ceil(t k) + 1; the join on those prefixes passes pairs that the length and
+positional filters allow, and each pair is verified on hashes of the shingles, then
+on their words.  A token that many lines share is joined in two steps, so that no
+list of lines is paired out without need: every line is first tried against the
+earliest line of each of its tokens, and only lines that this does not decide meet
+the rest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.llm.common import col, release, save
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Parts in 1024 of all tokens that are counted one by one.
+CLASS = 307
 #: Buckets of the rarity counts.
 RANK_BITS = 16
 RANKS = 1 << RANK_BITS
@@ -29,9 +37,15 @@ RANKS = 1 << RANK_BITS
 BROADCAST_KEYS = 2_000_000
 
 
+def spaced(line: str) -> str:
+    """SQL for a line whose white space is spaces; most lines have no other and stay as they are."""
+    others = " OR ".join(f"contains({line}, '{c}')" for c in ("\\u0009", "\\u000B", "\\u000C", "\\u000D"))
+    return f"IF({others}, translate({line}, '\\u0009\\u000B\\u000C\\u000D', '    '), {line})"
+
+
 def words(line: str) -> str:
-    """SQL for the words of a line."""
-    return f"array_remove(split(translate({line}, '\\u0009\\u000B\\u000C\\u000D', '    '), ' ', -1), '')"
+    """SQL for the words of a line whose white space is spaces."""
+    return f"array_remove(split({line}, ' ', -1), '')"
 
 
 def shingles(w: str, size: int = SHINGLE) -> str:
@@ -39,10 +53,13 @@ def shingles(w: str, size: int = SHINGLE) -> str:
     return f"CASE WHEN size({w}) >= {size} THEN array_distinct(transform(sequence(1, size({w}) - {size - 1}), i -> array_join(slice({w}, i, {size}), ' '))) WHEN size({w}) > 0 THEN array(array_join({w}, ' ')) ELSE array() END"
 
 
+def _gram(w: str, size: int) -> str:
+    return f"xxhash64({', '.join(f'{w}[i + {k}]' for k in range(size))})"
+
+
 def hashed(w: str, size: int = SHINGLE) -> str:
     """SQL for the hashes of the distinct shingles."""
-    s = ", ".join(f"{w}[i + {k}]" for k in range(size))
-    return f"CASE WHEN size({w}) >= {size} THEN array_distinct(transform(sequence(0, size({w}) - {size}), i -> xxhash64({s}))) ELSE array(xxhash64({w})) END"
+    return f"CASE WHEN size({w}) >= {size} THEN array_distinct(transform(sequence(0, size({w}) - {size}), i -> {_gram(w, size)})) ELSE array(xxhash64({w})) END"
 
 
 def made(rows: DataFrame, keep: list[str], **columns: str) -> DataFrame:
@@ -63,53 +80,100 @@ def _within(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if few else keys, name, "left_semi")
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    rows = docs.select(col(doc_id).cast("long").alias("id"), F.xxhash64(col(text)).alias("mark"), col(text).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    return rows.select("id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(col(doc_id).cast("long").alias("id"), F.xxhash64(col(text)).alias("mark"), col(text).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+
+
+_KEY = ["h1", "h2", "size"]
 
 
-def _key() -> list[Column]:
-    return [F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.length("line").alias("size")]
+def _keyed(texts: DataFrame) -> DataFrame:
+    """Every line's place, whether it is blank, and a key of 160 bits for its text."""
+    lines = texts.select("id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+    blank = F.expr("length(trim(BOTH ' \\u0009\\u000A\\u000B\\u000C\\u000D' FROM line)) = 0")
+    return lines.select("id", "mark", "no", blank.alias("blank"), F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.length("line").alias("size"))
 
 
-def _tokens(distinct: DataFrame, size: int) -> DataFrame:
-    """Rows (node, id, tokens): the first document that has the line, and hashes of its shingles."""
-    w = made(distinct, ["node", "first.id AS id"], w=words("line")).where("size(w) > 0")
-    return made(w, ["node", "id"], tokens=hashed("w", size))
+def _first_lines(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (node, first, line): the text of every distinct line, from its first place; white space is spaces."""
+    place = Window.partitionBy("id", "mark").orderBy("id")
+    once = texts.withColumn("_row", F.row_number().over(place)).where("_row = 1").drop("_row")
+    owned = classes.groupBy(F.col("first.id").alias("id"), F.col("first.mark").alias("mark")).agg(F.collect_list(F.struct("first.no", "node")).alias("own"))
+    held = once.join(owned, ["id", "mark"]).select("id", "mark", F.split("text", "\n", -1).alias("all"), F.inline("own"))
+    lines = held.select("node", F.struct("id", "mark", "no").alias("first"), F.get("all", F.col("no")).alias("line"))
+    return lines.withColumn("line", F.expr(spaced("line")))
+
+
+def _counted(distinct: DataFrame, size: int) -> DataFrame:
+    """Rows (node, n, counted, token) for the places of counted tokens, and one for every line at least.
+
+    ``n`` counts a line's places: its distinct tokens are as many at most.  All is
+    generated code; a token is hashed whole only if its first two words are in the class.
+    """
+    w = made(distinct, ["node"], w=words("line")).where("size(w) > 0")
+    places = w.selectExpr("node", "w", f"greatest(size(w) - {size - 1}, 1) AS n", f"explode(sequence(0, greatest(size(w) - {size}, 0))) AS i")
+    counted = f"size(w) < {size} OR (xxhash64(w[i], w[i + {min(1, size - 1)}]) & 1023) < {CLASS}"
+    rows = made(places, ["node", "w", "n", "i"], counted=counted).where("counted OR i = 0")
+    return rows.selectExpr("node", "n", "counted", f"CASE WHEN NOT counted THEN CAST(0 AS BIGINT) WHEN size(w) >= {size} THEN {_gram('w', size)} ELSE xxhash64(w) END AS token")
+
+
+def _undecided(distinct: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The nodes of lines that may have a similar one (see above)."""
+    held = save(_counted(distinct, size), "counted-tokens")
+    seen = held.where("counted").groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"))
+    repeated = save(seen.where("n > 1"), "repeated-tokens")
+    shared = repeated.where("lo < hi").select("token")
+    few = shared.count() <= BROADCAST_KEYS
+    alone = held.where("counted").join(F.broadcast(shared) if few else shared, "token", "left_anti").select("node", "n", F.lit(1).alias("alone"))
+    lines = alone.unionByName(held.where("NOT counted").select("node", "n", F.lit(0).alias("alone")))
+    # a token that a line repeats counts once
+    again = repeated.where("lo = hi").select(F.col("lo").alias("node"), F.lit(0).alias("n"), (1 - F.col("n")).cast("int").alias("alone"))
+    enough = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1  # never shrinks with n
+    decided = lines.unionByName(again).groupBy("node").agg(F.max("n").alias("n"), F.sum("alone").alias("alone")).where(F.col("alone") >= enough)
+    out = save(distinct.select("node").join(decided.select("node"), "node", "left_anti"), "undecided-lines")
+    release(held, repeated)
+    return out
+
+
+def _ranks(tokens: DataFrame) -> Column:
+    """An array of RANKS numbers: for each bucket of token hashes its place, the rarest first, from -RANKS / 2 on."""
+    counts = tokens.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(RANKS - 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    every = tokens.sparkSession.range(RANKS).select(F.col("id").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["n"])
+    placed = F.array_sort(F.collect_list(F.struct("n", "bucket"))).alias("sorted")
+    ranked = every.agg(placed).select(F.posexplode("sorted").alias("rank", "held"))
+    signed = F.struct("held.bucket", (F.col("rank") - RANKS // 2).alias("rank"))
+    return ranked.agg(F.array_sort(F.collect_list(signed)).alias("r")).select(F.col("r.rank")).scalar()
+
+
+def _prefixes(tokens: DataFrame, similarity: float) -> DataFrame:
+    """Rows (node, id, k, pos, token): the rarest tokens of every line, as many as the similarity needs.
+
+    A token here is its rank, then the rest of its hash: one to one with the token.
+    """
+    rows = tokens.withColumn("ranks", _ranks(tokens))
+    ranked = F.transform("tokens", lambda t: F.shiftleft(F.get(F.col("ranks"), t.bitwiseAND(RANKS - 1).cast("int")).cast("long"), 64 - RANK_BITS).bitwiseOR(F.shiftrightunsigned(t, RANK_BITS)))
+    sorted_ = made(rows.select("node", F.col("first.id").alias("id"), F.size("tokens").alias("k"), F.sort_array(ranked).alias("sorted")), ["node", "id", "k"], sorted="sorted")
+    prefix = F.expr(f"slice(sorted, 1, k - CAST(ceil({similarity} * k - 1e-9) AS INT) + 1)")
+    return sorted_.select("node", "id", "k", F.posexplode(prefix).alias("pos", "token"))
 
 
-def _ranks(distinct: DataFrame, size: int) -> list[int]:
-    """For each bucket of token hashes its rank, the rarest first; RANKS numbers come to the driver."""
-    w = made(distinct, [], w=words("line")).where(f"size(w) >= {size}")
-    long = ", ".join(f"slice(w, {k + 1}, size(w) - {size - 1})" for k in range(size))
-    grams = w.selectExpr(f"inline(arrays_zip({long})) AS ({', '.join(f'w{k}' for k in range(size))})")
-    counted = grams.groupBy(F.expr(f"xxhash64({', '.join(f'w{k}' for k in range(size))}) & {RANKS - 1}").alias("bucket")).count().collect()
-    count = {r["bucket"]: r["count"] for r in counted}
-    rank = [0] * RANKS
-    for place, bucket in enumerate(sorted(range(RANKS), key=lambda b: (count.get(b, 0), b))):
-        rank[bucket] = place
-    return rank
+def _alike(rows: DataFrame, similarity: float) -> DataFrame:
+    """Rows whose token arrays xt and yt are similar."""
+    rows = made(rows, [c for c in rows.columns if c not in ("xt", "yt")], common="size(array_intersect(xt, yt))", total="size(xt) + size(yt)")
+    return rows.where(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).drop("common", "total")
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, size: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, near: DataFrame, size: int, similarity: float) -> DataFrame:
     """Of pairs (x, y) of nodes the later node, where the lines are similar.
 
-    Hashes of the shingles sort out most pairs; what they pass is verified on the words.
+    Hashes of the shingles sort out most pairs; what they pass is verified on the
+    words.  Equal hashes can only raise the first count, so nothing is lost.
     """
-    nodes = save(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "candidate-lines")
-    near = save(_within(distinct.select("node", "first", "line"), nodes, "node"), "candidate-texts")
-    side = lambda n: near.select(F.col("node").alias(n), F.col("first").alias(f"{n}_first"), F.col("line").alias(f"{n}_line"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
-
-    def alike(rows: DataFrame, tokens) -> DataFrame:
-        names = ["x", "y", "x_first", "y_first", "x_line", "y_line"]
-        rows = made(rows, names, xw=words("x_line"), yw=words("y_line"))
-        rows = made(rows, names, xt=tokens("xw", size), yt=tokens("yw", size))
-        rows = made(rows, names, common="size(array_intersect(xt, yt))", total="size(xt) + size(yt)")
-        return rows.where(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select(*names)
-
-    # equal hashes can only raise the first count, so nothing is lost
-    found = alike(alike(both, hashed), shingles)
+    side = lambda n: near.select(F.col("node").alias(n), F.col("first").alias(f"{n}_first"), F.col("line").alias(f"{n}_line"), F.col("tokens").alias(f"{n}t"))
+    found = _alike(pairs.join(side("x"), "x").join(side("y"), "y"), similarity)
+    names = ["x", "y", "x_first", "y_first"]
+    found = made(found, names, xw=words("x_line"), yw=words("y_line"))
+    found = _alike(made(found, names, xt=shingles("xw", size), yt=shingles("yw", size)), similarity)
     return found.select(F.when(F.col("x_first") < F.col("y_first"), F.col("y")).otherwise(F.col("x")).alias("node"))
 
 
@@ -121,20 +185,19 @@ def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     that repeat a document (same id and text) get the same decisions, and do not
     count as earlier than each other.  Null ids and texts give no lines.
     """
-    lines = _lines(docs, doc_id, text)
+    texts = _texts(docs, doc_id, text)
+    keyed = save(_keyed(texts), "keyed-lines")
     order = F.struct("id", "mark", "no")
-    distinct = lines.groupBy(*_key()).agg(F.min(order).alias("first"), F.first("line").alias("line")).withColumn("node", F.monotonically_increasing_id())
-    distinct = save(distinct, "distinct-lines")
-    rank = "array(" + ", ".join(str(r - RANKS // 2) for r in _ranks(distinct, shingle)) + ")"
-    # rarity first, then the rest of the hash; one to one with the token
-    ranked = made(_tokens(distinct, shingle), ["node", "id"], tokens=f"sort_array(transform(tokens, t -> shiftleft(CAST({rank}[CAST(t & {RANKS - 1} AS INT)] AS BIGINT), {64 - RANK_BITS}) | shiftrightunsigned(t, {RANK_BITS})))", k="size(tokens)")
-    prefix = F.expr(f"slice(tokens, 1, k - CAST(ceil({similarity} * k - 1e-9) AS INT) + 1)")
-    postings = save(ranked.select("node", "id", "k", F.posexplode(prefix).alias("pos", "token")), "line-prefixes")
+    classes = save(keyed.groupBy(*_KEY).agg(F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()), "line-classes")
+    distinct = save(_first_lines(texts, classes), "distinct-lines")
+    undecided = _undecided(distinct, shingle, similarity)
+    near = made(_within(distinct, undecided, "node"), ["node", "first", "line"], w=words("line")).where("size(w) > 0")
+    near = save(made(near, ["node", "first", "line"], tokens=hashed("w", shingle)), "undecided-texts")
+    postings = save(_prefixes(near, similarity), "line-prefixes")
     # the least by document: what later lines are compared with first
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "node")).alias("least")).where("n > 1").select("token", F.col("least.node").alias("least"))
-    shared = save(shared, "shared-tokens")
-    index = save(_within(postings, shared.select("token"), "token").join(shared, "token"), "shared-prefixes")
-    release(postings)
+    index = save(postings.join(shared, "token"), "shared-prefixes")
+    release(distinct, undecided, postings)
     # Sizes within the similarity, and places of the first token that both have: before it
     # nothing is common, so what follows must hold all that is needed.
     needed = F.ceil(similarity / (1 + similarity) * (F.col("kx") + F.col("ky")) - 1e-9)
@@ -144,19 +207,17 @@ def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     # first, every line meets the least line of each of its tokens: at most one pair a posting
     own = x.where("x = least").drop("least")
     tried = save(y.where("y <> least").drop("least").join(own, "token").where(fits).select("x", "y").distinct(), "first-pairs")
-    found = save(_verified(tried, distinct, shingle, similarity).distinct(), "first-matches")
+    found = save(_verified(tried, near, shingle, similarity).distinct(), "first-matches")
     # lines that this does not decide meet every line of their tokens that is not of a later document
     still = y.join(found.withColumnRenamed("node", "y"), "y", "left_anti").drop("least")
     met = still.join(x.drop("least"), "token").where((F.col("ix") <= F.col("iy")) & (F.col("x") != F.col("y")) & fits)
     later = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     later = later.join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     later = save(later, "later-pairs")
-    gone = found.unionByName(_verified(later, distinct, shingle, similarity)).distinct().select("node", F.lit(True).alias("gone"))
-    judged = save(distinct.join(gone, "node", "left").select("h1", "h2", "size", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-verdicts")
-    release(distinct, shared, index, tried, found, later)
-    blank = F.translate("line", " \t\n\v\f\r", "") == ""
-    keyed = lines.select("id", "mark", "no", blank.alias("blank"), *_key())
-    return keyed.join(judged, ["h1", "h2", "size"]).select("id", "mark", "no", (F.col("blank") | (~F.col("gone") & (order == F.col("first")))).alias("kept"))
+    gone = found.unionByName(_verified(later, near, shingle, similarity)).distinct().select("node", F.lit(True).alias("gone"))
+    judged = save(classes.join(gone, "node", "left").select(*_KEY, "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-verdicts")
+    release(classes, near, index, tried, found, later)
+    return keyed.join(judged, _KEY).select("id", "mark", "no", (F.col("blank") | (~F.col("gone") & (order == F.col("first")))).alias("kept"))
 
 
 def remove_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
