@@ -40,11 +40,11 @@ def corpus(seed, copies):
     return rows
 
 
-@pytest.mark.parametrize("block", [2048, 5])
-def test_equals_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "queries"), [(2048, 16_384), (5, 7)])
+def test_equals_brute_force(spark, block, queries):
     rows = corpus(block, 30)
     vectors = spark.createDataFrame([(i, v, 1, "x", "y") for i, v in rows], SCHEMA)
-    got = embeddings.near_duplicates(vectors, list_vectors=20, block_vectors=block, probe_sigmas=None)
+    got = embeddings.near_duplicates(vectors, list_vectors=20, block_vectors=block, block_queries=queries, probe_sigmas=None)
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got.collect()), key=repr) == brute(rows)
 
 
@@ -78,6 +78,29 @@ def test_default_probes_reach_nearly_all_neighbours():
     assert sum((a, near[b]) in probed for a, b in pairs) >= 0.999 * len(pairs)
 
 
+@pytest.mark.parametrize("intrinsic", [4, 8, 16, 32])
+def test_default_probing_in_few_intrinsic_dimensions(spark, intrinsic):
+    """Clustered vectors on random subspaces: links at both ends, nearly all of them."""
+    rng = np.random.default_rng(intrinsic)
+    base = rng.normal(size=(400, intrinsic)) @ rng.normal(size=(intrinsic, 48))
+    x = np.concatenate([base, base[:300] + (0.25 * rng.normal(size=(300, intrinsic))) @ rng.normal(size=(intrinsic, 48))])
+    vectors = spark.createDataFrame([(i, v.tolist(), 1, "x", "y") for i, v in enumerate(x)], SCHEMA)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(vectors, list_vectors=20).collect()}
+    want = {i: (n, c) for i, n, c, _ in brute([(i, v.tolist()) for i, v in enumerate(x)])}
+    assert sum(n for n, _ in want.values()) > 300
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values())
+    assert sum(n for n, _ in got.values()) % 2 == 0 and all(got[i][0] <= n for i, (n, _) in want.items())
+
+
+def test_many_lists_in_two_levels():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = embeddings.Index(x, 1500, 0.95)
+    assert 1300 < len(index.centroids) < 1700
+    assert [embeddings.list_count(n) for n in (100, 100_000, 10_000_000, 10**12)] == [1, 390, 6324, 16_384]
+
+
 def test_empty_tables(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     only = spark.createDataFrame([(1, None, 1, "", "")], SCHEMA)

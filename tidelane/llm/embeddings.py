@@ -8,10 +8,12 @@ within ``delta`` of it, compares codes by asymmetric table lookups, passes all
 that the error allows, and reranks by the exact cosine in double precision.
 
 Probing is exact if ``probe_sigmas`` is None (see ``Index.probes``), but then a
-query in many dimensions visits most lists.  By default the bound is taken for a
-neighbour in a random direction, ``probe_sigmas`` standard deviations out: three
-miss one pair in a thousand at most, and none was missed on the tables at hand.
-The later steps lose nothing.
+query in many dimensions visits most lists.  By default the bound is taken
+``probe_sigmas`` standard deviations out for a neighbour whose direction is like
+those of the residuals around it; their spread is measured list by list on the
+training sample, so that in few intrinsic dimensions the bound becomes the exact
+one.  A link counts at both ends, whichever side's probes found it.  The later steps
+lose nothing.
 
 Equal vectors are one class with a count, so copies are never paired out.
 """
@@ -28,14 +30,17 @@ from pyspark.sql import functions as F
 from tidelane.llm.common import col, components, save, spanning_stars
 
 THRESHOLD = 0.95
-#: Distinct vectors that train the index, those with the least hashes.
-TRAINING_VECTORS = 20_000
-#: Vectors in a list, by expectation, and the most lists.
-LIST_VECTORS, MOST_LISTS = 256, 1024
+#: Distinct vectors that train the index, those with the least hashes; for many lists
+#: so many a list.
+TRAINING_VECTORS, TRAINING_A_LIST = 20_000, 16
+#: Vectors in a list, by expectation, while there are no more lists than ``FLAT_LISTS``.
+#: Beyond, lists grow as twice the square root of the vectors, in two levels, up to a
+#: model of ``MOST_LISTS`` centroids; longer lists are split into blocks.
+LIST_VECTORS, FLAT_LISTS, MOST_LISTS = 256, 1024, 16_384
 PROBE_SIGMAS = 3.0
 SUBSPACES, CODEWORDS = 8, 256
-#: Longer lists are split into blocks of about this many vectors.
-BLOCK_VECTORS = 2048
+#: Longer lists are split into blocks of about this many vectors, their queries likewise.
+BLOCK_VECTORS, BLOCK_QUERIES = 2048, 16_384
 _QUERIES = 512
 _SLACK = 1e-9
 
@@ -58,15 +63,50 @@ def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     return c
 
 
+def _two_level_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` centroids; many are found within coarser cells, a share of each by its vectors."""
+    if k <= FLAT_LISTS:
+        return _means(x, k, rounds, rng)
+    coarse = _means(x, int(np.sqrt(k)), rounds, rng)
+    cell = np.argmax(x @ coarse.T - (coarse * coarse).sum(axis=1) / 2, axis=1)
+    return np.concatenate([_means(part, max(1, round(k * len(part) / len(x))), rounds, rng) for part in (x[cell == c] for c in range(len(coarse))) if len(part)])
+
+
+def list_count(n: int, list_vectors: int = LIST_VECTORS) -> int:
+    return max(1, min(n // list_vectors, max(FLAT_LISTS, int(2 * n**0.5)), MOST_LISTS))
+
+
+def _spread(residuals: np.ndarray, near: np.ndarray, lists: int) -> np.ndarray:
+    """For each list the root mean square of the cosine between two residuals: 1 / sqrt(d) in d dimensions.
+
+    Lists with few sampled vectors take the greater of their own and all lists' value.
+    """
+    size = np.sqrt((residuals * residuals).sum(axis=1))
+    unit = residuals[size > 1e-12] / size[size > 1e-12][:, None]
+    near = near[size > 1e-12]
+    order = np.argsort(near, kind="stable")
+    cuts = np.searchsorted(near[order], np.arange(lists + 1))
+    total, pairs = np.zeros(lists), np.zeros(lists)
+    for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        u = unit[order[a : min(b, a + 256)]]
+        if len(u) > 1:
+            total[c], pairs[c] = ((u @ u.T) ** 2).sum() - len(u), len(u) * (len(u) - 1)
+    every = total.sum() / pairs.sum() if pairs.sum() else 1.0
+    own = np.divide(total, pairs, out=np.full(lists, every), where=pairs > 0)
+    return np.sqrt(np.where(pairs >= 30 * 29, own, np.maximum(own, every)))
+
+
 class Index:
     """Coarse centroids and residual codebooks; of bounded size, so it is shipped in closures."""
 
     def __init__(self, sample: np.ndarray, lists: int, threshold: float, probe_sigmas: float | None = PROBE_SIGMAS, subspaces: int = SUBSPACES, codewords: int = CODEWORDS) -> None:
         rng = np.random.default_rng(17)
         self.delta = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + _SLACK
-        self.reach = self.delta * (1.0 if probe_sigmas is None else min(1.0, probe_sigmas / sample.shape[1] ** 0.5))
-        self.centroids = _means(sample, min(lists, len(sample)), 10, rng)
-        residuals = sample - self.centroids[self.nearest(sample)]
+        self.centroids = _two_level_means(sample, min(lists, len(sample)), 10, rng)
+        near = self.nearest(sample)
+        residuals = sample - self.centroids[near]
+        spread = np.ones(len(self.centroids)) if probe_sigmas is None else np.minimum(1.0, probe_sigmas * _spread(residuals, near, len(self.centroids)))
+        self.reach = self.delta * spread
         edges = np.linspace(0, sample.shape[1], min(subspaces, sample.shape[1]) + 1).astype(int)
         self.parts = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
         self.books = [_means(residuals[:, a:b], min(codewords, len(sample)), 6, rng) for a, b in self.parts]
@@ -93,11 +133,16 @@ class Index:
         at most delta |b - c|, and for a random direction in d dimensions has a
         standard deviation of delta |b - c| / sqrt(d).
         """
+        return np.nonzero(self.probed(x))
+
+    def probed(self, x: np.ndarray) -> np.ndarray:
+        """Whether each row probes each list."""
         s = self.scores(x)
         best = np.argmax(s, axis=1)
         gap = s[np.arange(len(x)), best][:, None] - s
-        apart = np.sqrt(np.maximum(((self.centroids[best][:, None, :] - self.centroids[None]) ** 2).sum(axis=2), 0))
-        return np.nonzero(gap <= self.reach * apart + _SLACK)
+        own, square = self.centroids[best], (self.centroids**2).sum(axis=1)
+        apart = np.sqrt(np.maximum(square[best][:, None] + square - 2 * own @ self.centroids.T, 0))
+        return gap <= self.reach[best][:, None] * apart + _SLACK
 
     def near_codes(self, q: np.ndarray, c: int, codes: np.ndarray, error: np.ndarray) -> np.ndarray:
         """Which (query, vector) pairs of list c the looked-up distances allow."""
@@ -128,30 +173,35 @@ def _raw_rows(vectors: DataFrame, vec_id: str, embedding: str, kind: str) -> Dat
     return vectors.select(col(vec_id).cast("long").alias("vec_id"), col(embedding).alias("embedding")).mapInArrow(run, "vec_id long, raw binary")
 
 
-_BASE = "list int, block int, query boolean, node long, n long, raw binary, codes binary, error double"
+_BASE = "list int, block int, part int, query boolean, node long, n long, raw binary, codes binary, error double"
 
 
-def _deal(classes: DataFrame, index: Index, kind: str, blocks: np.ndarray | None) -> DataFrame:
-    """Every class in its list, or (with ``blocks``) also as a query in the lists it probes."""
+def _deal(classes: DataFrame, index: Index, kind: str, blocks: np.ndarray | None, parts: np.ndarray | None = None) -> DataFrame:
+    """Every class in its list, and as a query in the lists it probes.
+
+    A list has ``blocks`` of vectors and ``parts`` of queries, and a row for every
+    block meets every part; without them only (list, query) are returned, to count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64())
-        names = ["list", "block", "query", "node", "n", "raw", "codes", "error"]
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64())
+        names = ["list", "block", "part", "query", "node", "n", "raw", "codes", "error"]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 node, n, raw = (part.column(k).to_pylist() for k in range(3))
                 x = _unit(raw, kind)
                 near = index.nearest(x)
+                row, probe = index.probes(x)
                 if blocks is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32())], names=["list"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([near, probe]), pa.int32()), pa.array(np.arange(len(near) + len(probe)) >= len(near))], names=["list", "query"])
                     continue
                 codes, error = index.encode(x, near)
-                own = [(int(c), node[i] % int(blocks[c]), False, node[i], n[i], raw[i], codes[i].tobytes(), float(error[i])) for i, c in enumerate(near)]
-                asks = [(int(c), b, True, node[i], n[i], raw[i], None, None) for i, c in zip(*index.probes(x), strict=True) for b in range(int(blocks[c]))]
+                own = [(int(c), node[i] % int(blocks[c]), p, False, node[i], n[i], raw[i], codes[i].tobytes(), float(error[i])) for i, c in enumerate(near) for p in range(int(parts[c]))]
+                asks = [(int(c), b, node[i] % int(parts[c]), True, node[i], n[i], raw[i], None, None) for i, c in zip(row.tolist(), probe.tolist(), strict=True) for b in range(int(blocks[c]))]
                 yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*(own + asks), strict=True), types, strict=True)], names=names)
 
-    return classes.select("node", "n", "raw").mapInArrow(run, "list int" if blocks is None else _BASE)
+    return classes.select("node", "n", "raw").mapInArrow(run, "list int, query boolean" if blocks is None else _BASE)
 
 
 def _compare(index: Index, kind: str, threshold: float):
@@ -177,11 +227,15 @@ def _compare(index: Index, kind: str, threshold: float):
                     s = slice(k, k + 65_536)
                     linked[s] = np.einsum("ij,ij->i", q[i[s]], base[j[s]]) >= threshold
                 linked &= node[part[i]] != node[own[j]]
-                i, j = part[i[linked]], own[j[linked]]
+                i, j = i[linked], j[linked]
                 count = np.zeros(len(table), np.int64)
-                np.add.at(count, i, n[j])
+                np.add.at(count, part[i], n[own[j]])
+                # the other end counts the link here if it does not probe the query's list itself
+                some, place = np.unique(j, return_inverse=True)
+                deaf = ~index.probed(base[some])[place, index.nearest(q)[i]] if len(some) else np.zeros(0, bool)
+                np.add.at(count, own[j[deaf]], n[part[i[deaf]]])
                 hit = np.flatnonzero(count)
-                u, v = spanning_stars(node[i], node[j])
+                u, v = spanning_stars(node[part[i]], node[own[j]])
                 kinds.append(np.repeat([0, 1], [len(hit), len(u)]))
                 a.append(np.concatenate([node[hit], u]))
                 b.append(np.concatenate([count[hit], v]))
@@ -191,7 +245,7 @@ def _compare(index: Index, kind: str, threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, list_vectors: int = LIST_VECTORS, block_vectors: int = BLOCK_VECTORS, probe_sigmas: float | None = PROBE_SIGMAS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, list_vectors: int = LIST_VECTORS, block_vectors: int = BLOCK_VECTORS, block_queries: int = BLOCK_QUERIES, probe_sigmas: float | None = PROBE_SIGMAS) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one per vector.
 
     Vectors that are null, empty, zero or hold null or non-finite components link
@@ -205,7 +259,7 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     valid = rows.where("raw IS NOT NULL")
     classes = valid.groupBy("raw").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
     classes = save(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
-    found = [_linked(classes.where(F.length("raw") == r["size"]), kind, r["n"], threshold, list_vectors, block_vectors, probe_sigmas) for r in classes.groupBy(F.length("raw").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()]
+    found = [_linked(classes.where(F.length("raw") == r["size"]), kind, r["n"], threshold, list_vectors, block_vectors, block_queries, probe_sigmas) for r in classes.groupBy(F.length("raw").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()]
     if not found:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     links = found[0]
@@ -222,13 +276,13 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     return got.unionByName(rest)
 
 
-def _linked(classes: DataFrame, kind: str, n: int, threshold: float, list_vectors: int, block_vectors: int, probe_sigmas: float | None) -> DataFrame:
+def _linked(classes: DataFrame, kind: str, n: int, threshold: float, list_vectors: int, block_vectors: int, block_queries: int, probe_sigmas: float | None) -> DataFrame:
     """Rows (kind, a, b): 0 with a node and its links in a block, 1 with an edge."""
-    sample = classes.select("raw").orderBy(F.xxhash64("raw"), "raw").limit(TRAINING_VECTORS).collect()
-    lists = max(1, min(MOST_LISTS, n // list_vectors))
+    lists = list_count(n, list_vectors)
+    sample = classes.select("raw").orderBy(F.xxhash64("raw"), "raw").limit(max(TRAINING_VECTORS, TRAINING_A_LIST * lists)).collect()
     index = Index(_unit([bytes(r["raw"]) for r in sample], kind), lists, threshold, probe_sigmas)
-    sizes = np.zeros(len(index.centroids), np.int64)
-    for r in _deal(classes, index, kind, None).groupBy("list").count().collect():
-        sizes[r["list"]] = r["count"]
-    blocks = np.maximum(1, -(-sizes // block_vectors))
-    return _deal(classes, index, kind, blocks).groupBy("list", "block").applyInArrow(_compare(index, kind, threshold), "kind int, a long, b long")
+    sizes = np.zeros((2, len(index.centroids)), np.int64)
+    for r in _deal(classes, index, kind, None).groupBy("list", "query").count().collect():
+        sizes[int(r["query"]), r["list"]] = r["count"]
+    blocks, parts = np.maximum(1, -(-sizes[0] // block_vectors)), np.maximum(1, -(-sizes[1] // block_queries))
+    return _deal(classes, index, kind, blocks, parts).groupBy("list", "block", "part").applyInArrow(_compare(index, kind, threshold), "kind int, a long, b long")
