@@ -21,11 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor see.
 
     It is the folder the cluster names in ``spark.checkpoint.dir``.  Only where
-    that setting is absent (local tests) a folder of this machine is used.
+    that setting is absent and all runs in one process (local tests) a folder of
+    this machine is used; a cluster without the setting is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     local = os.path.join(tempfile.gettempdir(), "tidelane-checkpoints")
     os.makedirs(local, exist_ok=True)
     return local
@@ -118,19 +122,20 @@ def spanning_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[keep], roots[keep]
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     ``edges`` has long columns ``a`` and ``b``.  Returns (node, root) for every
     node that is not the least of its component.  Each round is a partially
     aggregated minimum and an equi-join whose skewed keys adaptive execution can
     split; nothing is gathered in one task or on the driver but two sums that
-    tell whether the edges changed.
+    tell whether the edges changed.  Rounds go on until they do not; their number
+    grows with the logarithm of the longest path.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = save(e, "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         # large star: a node's larger neighbours move to its least neighbour
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -146,4 +151,3 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if (row["n"], row["h"]) == seen:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = (row["n"], row["h"])
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
