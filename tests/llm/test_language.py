@@ -17,7 +17,7 @@ def plain_grams(text):
 
 def test_kernel_is_the_cosine_of_presence():
     texts = ["Hello world", "hello there, W0rld", "étrange été", "x" * 5000 + " y"]
-    model = language.Model([t.encode() for t in texts], ["a", "a", "b", "b"])
+    model = language.Model([language.grams(t.lower().encode()) for t in texts], ["a", "a", "b", "b"])
     got = model.kernel([language.grams(t.lower().encode()) for t in texts])
     sets = [plain_grams(t) for t in texts]
     want = [[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets]
@@ -56,6 +56,40 @@ def test_held_out_labels_are_not_learnt(spark):
     assert a == b
 
 
+def test_fit_equals_plain_nystrom_ridge():
+    texts, labels = [r[1] for r in rows()[:160]], [r[2] for r in rows()[:160]]
+    model = language.Model([language.grams(t.lower().encode()) for t in texts], labels, landmarks=10, ridge=0.1)
+    sets = [plain_grams(t) for t in texts]
+    marks = [k for x in ("en", "de") for k in [i for i, y in enumerate(labels) if y == x][:10]]
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    k = np.array([[kernel(s, sets[m]) for m in marks] for s in sets])
+    values, vectors = np.linalg.eigh(k[marks])
+    keep = values > 1e-6 * values.max()
+    phi = k @ vectors[:, keep] / np.sqrt(values[keep])
+    y = np.array([[x == "de", x == "en"] for x in labels], float)
+    # rows weigh 1 / 160 each, as both languages are as frequent
+    w = np.linalg.solve(phi.T @ phi / 160 + 0.1 / 160 * np.eye(phi.shape[1]), phi.T @ y / 160)
+    assert np.allclose(model.kernel([language.grams(t.lower().encode()) for t in texts]) @ model.weights, phi @ w, atol=2e-3)
+
+
+def test_many_languages_long_texts_and_repeated_ids(spark):
+    """Every language is learnt, from whole texts; copies of one id teach once."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    data = [(1000 * k + i, " ".join(f"{letters[k % 26]}{letters[k // 26]}{letters[(k * 7) % 26]}{x}" for x in "abcdefgh"), f"l{k}", None, None) for k in range(230) for i in range(8)]
+    data += [(7, "123 " * 50_000 + "zzyzx quvox " * 40, "late", None, None)] * 50 + [(8, "zzyzx quvox", "late", None, None)]
+    got = language.identify(spark.createDataFrame(data, SCHEMA), others=("lang",)).collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.95
+    assert {r.lang_pred for r in got if r.doc_id == 8} == {"late"}
+    with pytest.raises(ValueError):
+        language.identify(spark.createDataFrame(data[:1], SCHEMA), others=("held_out",))
+
+
+def test_what_no_language_resembles_goes(spark):
+    docs = spark.createDataFrame([*rows(), (6000, "ΣΦΨ ЖЩЮ ЖЖЩЩ ΨΨΦΦ", None, None, None), (6001, "x", None, None, None)], SCHEMA)
+    kept = {r.doc_id for r in language.keep_known(docs).collect()}
+    assert 6000 not in kept and {0, 1000, 5003} <= kept and not {5000, 5001, 5002} & kept
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "words", None, None, None)], SCHEMA)
     assert [tuple(r)[2:] for r in language.identify(docs).collect()] == [("und", 0.0)]

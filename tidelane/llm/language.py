@@ -7,8 +7,9 @@ one ridge regression per language is fitted against the rest.  A text's kernel
 with the landmarks is its presence vector times the landmarks' presence matrix,
 so texts are scored in batches by matrix products.
 
-The model is fitted on the driver from a bounded sample of labelled texts; its
-size does not depend on the input.  Every text is scored whole.
+The model is fitted on the driver from a bounded sample of labelled texts, which
+executors turn into presence vectors of the whole texts; its size does not depend on
+the input but for the number of languages.  Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -18,20 +19,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.llm.common import col, slices
 
 UNKNOWN = "und"
-#: Labelled texts that the model is fitted on, per language, and of each how
-#: many UTF-8 bytes; the most languages; landmarks per language.
-SAMPLE_PER_LANGUAGE, SAMPLE_BYTES, MOST_LANGUAGES, LANDMARKS = 400, 20_000, 200, 48
+#: Labelled texts that the model is fitted on, and landmarks, per language.
+SAMPLE_PER_LANGUAGE, LANDMARKS = 400, 48
 RIDGE = 1e-2
 #: A softmax of the regressions' outputs, which lie around 0 and 1.
 SHARPNESS = 12.0
-#: Below this no language stands out: among four, an even split scores 0.25.
-LEAST_SCORE = 0.3
+#: How far a recognised language's score lies above an even split, as a share of what
+#: is left to 1: among four languages, 0.25 + 0.067 * 0.75 = 0.3.
+LEAST_MARGIN = 0.067
+#: The least share of a text's grams that landmarks have: a text that shows fewer is of
+#: no learnt language, however many are learnt.
+LEAST_KNOWN = 0.2
 _LETTER = re.compile(r"[^\W\d_]")
 _WORDS = re.compile(rb"[A-Za-z\x80-\xff]+")
 _DIM = 256 + 256**2 + 256**3
@@ -61,11 +65,11 @@ def grams(raw: bytes) -> np.ndarray:
 class Model:
     """Landmarks, the Nystrom map and the ridge weights."""
 
-    def __init__(self, texts: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> None:
+    def __init__(self, found: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> None:
+        """From the grams and languages of labelled texts."""
         self.languages = sorted(set(labels))
         if not self.languages:
             return
-        found = [grams(t.decode().lower().encode()) for t in texts]
         taken: dict[str, int] = {}
         marks = []
         for i, lang in enumerate(labels):
@@ -110,18 +114,26 @@ class Model:
             rows[k, at[at >= 0]] = 1 / np.sqrt(len(f))
         return rows @ self.presence
 
-    def predict(self, texts: list[str | None], batch: int = 64) -> tuple[list[str], np.ndarray]:
-        """Language and score of every text."""
-        langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    def predict(self, texts: list[str | None], batch: int = 64) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of every text, and the share of its grams that landmarks have."""
+        langs, scores, share = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         known = [i for i, t in enumerate(texts) if t is not None and self.languages and has_letter(t)]
         for at in range(0, len(known), batch):
             part = known[at : at + batch]
-            out = self.kernel([grams(texts[i].lower().encode()) for i in part]) @ self.weights
+            found = [grams(texts[i].lower().encode()) for i in part]
+            out = self.kernel(found) @ self.weights
+            share[part] = [(self.place[f] >= 0).mean() for f in found]
             p = np.exp(SHARPNESS * (out - out.max(axis=1, keepdims=True)))
             p /= p.sum(axis=1, keepdims=True)
             for i, k, x in zip(part, p.argmax(axis=1).tolist(), p.max(axis=1).tolist(), strict=True):
                 langs[i], scores[i] = self.languages[k], x
-        return langs, scores
+        return langs, scores, share
+
+    def known(self, texts: list[str | None], margin: float = LEAST_MARGIN, least_known: float = LEAST_KNOWN) -> list[bool]:
+        """Whether each text's language is recognised."""
+        langs, scores, share = self.predict(texts)
+        even = 1 / max(len(self.languages), 1)
+        return [x != UNKNOWN and bool(y >= even + margin * (1 - even)) and bool(z >= least_known) for x, y, z in zip(langs, scores, share, strict=True)]
 
 
 def held_out(doc_id):
@@ -130,25 +142,31 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit on a sample: of each language the ``per_language`` texts with the least id hashes.
+    """Fit on a sample: of each language the ``per_language`` ids with the least hashes.
 
-    Only rows that are not held out and have a language, a text and an id count.
-    The ids are chosen first, then their texts are fetched by a broadcast of at
-    most ``MOST_LANGUAGES * per_language`` ids.
+    Only rows that are not held out and have a language, an id and a text with a
+    letter count; of rows that share an id and a language, the one whose text has the
+    least hash.  Ids are chosen first (``per_language`` for every language), then their
+    texts are turned into gram numbers where they are, whole; only these reach the driver.
     """
     rows = docs.select(col(doc_id).cast("long").alias("id"), col(text).cast("string").alias("text"), col(lang).cast("string").alias("lang"))
-    rows = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull())
-    order = F.xxhash64("id").alias("h")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, 4 * per_language / r["count"] + 1e-9)).otherwise(share)
-    near = rows.select("id", "lang", order, share.alias("share")).where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    chosen = near.groupBy("lang").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.pmod("h", F.lit(1 << 30)).alias("h"), "id"))), 1, per_language).alias("top"))
-    ids = chosen.select("lang", F.explode("top").alias("t")).select("lang", F.col("t.id").alias("id"), F.col("t.h").alias("h"))
-    got = rows.join(F.broadcast(ids), ["id", "lang"]).select("h", "id", "lang", F.substring("text", 1, SAMPLE_BYTES).alias("text")).distinct().orderBy("h", "id", "text").collect()
-    got = [r for r in got if has_letter(r["text"])]
-    return Model([r["text"].encode() for r in got], [r["lang"] for r in got])
+    rows = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("id").isNotNull())
+    # hashes below four times a language's share are enough, so that few ids are shuffled
+    counts = docs.groupBy(col(lang).cast("string").alias("lang")).agg((4 * per_language / F.count(F.lit(1))).alias("share"))
+    hashes = rows.select("lang", "id", F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t")).join(counts, "lang")
+    near = hashes.where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).withColumn("h", F.pmod("h", F.lit(1 << 30)))
+    once = near.groupBy("lang", "h", "id").agg(F.min("t").alias("t"))
+    place = Window.partitionBy("lang").orderBy("h", "id")
+    chosen = once.withColumn("at", F.row_number().over(place)).where(F.col("at") <= per_language).drop("at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [grams(t.lower().encode()).astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["h", "lang", "grams"])
+
+    held = rows.withColumn("t", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "lang", "t"]).select("h", "lang", "text")
+    got = sorted({(r["h"], r["lang"], bytes(r["grams"])) for r in held.mapInArrow(run, "h long, lang string, grams binary").toLocalIterator()})
+    return Model([np.frombuffer(g, "<i4") for _, _, g in got], [x for _, x, _ in got])
 
 
 def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | None = None, others: tuple[str, ...] = ()) -> DataFrame:
@@ -156,15 +174,18 @@ def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
 
     ``lang_pred`` is a learnt language; ``und`` with score 0 if the text is null or
     holds no letter, or if there was nothing to learn from.  A null doc_id is not
-    held out.  Repeated rows each give a row.  An empty table gives no rows.
+    held out.  Repeated rows each give a row.  An empty table gives no rows.  A
+    column of ``others`` may not be named like a result.
     """
+    if clash := {"doc_id", "held_out", "lang_pred", "score"} & set(others):
+        raise ValueError(f"columns named like results: {sorted(clash)}")
     model = fit(docs, doc_id=doc_id, text=text, lang=lang) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in slices(batches):
-            langs, scores = own.predict(batch.column(2).to_pylist())
+            langs, scores, _ = own.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *others])
 
     schema = docs.select(*[col(x) for x in others]).schema
@@ -173,17 +194,17 @@ def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
     return rows.mapInArrow(run, ", ".join(["doc_id long, held_out boolean, lang_pred string, score double", *[f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]]))
 
 
-def keep_known(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least_score: float = LEAST_SCORE, model: Model | None = None) -> DataFrame:
+def keep_known(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", margin: float = LEAST_MARGIN, model: Model | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is recognised, all columns kept.
 
-    What has no letter, no text or a score below ``least_score`` goes.
+    What has no letter or no text goes, and what no language stands out for (by
+    ``margin`` over an even split) or whose grams landmarks hardly have.
     """
     model = fit(docs, doc_id=doc_id, text=text, lang=lang) if model is None else model
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            langs, scores = shared.value.predict(batch.column(place).to_pylist())
-            yield batch.filter(pa.array([x != UNKNOWN and y >= least_score for x, y in zip(langs, scores.tolist(), strict=True)], pa.bool_()))
+            yield batch.filter(pa.array(shared.value.known(batch.column(place).to_pylist(), margin), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
