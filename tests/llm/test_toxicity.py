@@ -76,6 +76,48 @@ def test_long_runs_of_letters_take_linear_time():
     assert len(model_of(["what is it about"]).readings(run.strip(), bounds=True)[0].replace(" ", "")) == 100_000
 
 
+def test_signs_at_the_ends_and_doubled_letters():
+    text = "you idiot and stupid trash ass in the class pass assess glass letters hello all stupidity it is a hell"
+    model = toxicity.Words(model_of([text] * 20), {"idiot": 5.0, "stupid": 4.0, "trash": 3.0, "ass": 2.5})
+    for word, weight in {"a$$": 2.5, "@ss": 2.5, "!diot": 5, "+rash": 3, "$tupid": 4, "ssttuuppiidd": 4, "idiiot": 5, "(idiot!)": 5, "hello!": 0, "class": 0, "letters": 0, "$5": 0, "glass,": 0}.items():
+        assert model.weight(word) == weight, (word, model.restored(word))
+    assert model.signals(b"well a s s then")[0] == 2.5
+    assert model.restored("hello!")[0] == "hello"  # what is learnt of a word does not depend on marks beside it
+
+
+def test_learning_equals_plain_counts(spark):
+    """Weights and curve from Spark against the same rules over lists."""
+    docs, labels = corpus()
+    channel = model_of([r[1] for r in docs])
+    known = {d: t for d, _, t in labels if d is not None and t is not None and d < 240 and zlib.crc32(str(d).encode()) % 3 != 1}
+    rows = [(d, known[d], t) for d, t in sorted({(r[0], r[1]) for r in docs if r[0] in known and r[1]})]
+    chosen = spark.createDataFrame([(d, y, 0, t) for d, y, t in rows], "id long, y int, t long, text string")
+    got = toxicity.learn(channel, chosen)
+    plain = toxicity.Words(channel, {})
+    marks = {d: toxicity._marks(t.encode()) for d, _, t in rows}
+    assert len(set(marks.values())) == len(rows)  # no copies in this sample
+    sets = {d: (y, marks[d][0] % 2, {f for w in t.split() for f in toxicity.features(plain.restored(w)[0])}) for d, y, t in rows}
+
+    def weights(folds):
+        part = [(y, s) for y, k, s in sets.values() if k in folds]
+        toxic, clean = (Counter(f for y, s in part if y == label for f in s) for label in (1, 0))
+        return toxicity.word_weights(toxic, clean, sum(y for y, _ in part), sum(1 - y for y, _ in part))
+
+    assert got.words.weights == weights((0, 1)) and "grobnik" in got.words.weights
+    x = np.array([toxicity.Words(channel, weights((1 - sets[d][1],))).signals(t.encode()) for d, _, t in rows])
+    assert np.allclose(got.curve, toxicity._logistic(x, np.array([y for _, y, _ in rows])))
+    p = 1 / (1 + np.exp(-np.clip(np.array([*got.words.signals(docs[0][1].encode()), 1.0]) @ got.curve, -30, 30)))
+    assert abs(got.score(docs[0][1].encode()) - p) < 1e-12
+
+
+def test_toxic_words_late_in_long_texts(spark):
+    docs, labels = corpus()
+    long = " ".join(["filler words here"] * 40_000)
+    docs = [(d, f"{long} {d} {t}" if d in (0, 1) else t, *rest) for d, t, *rest in docs]
+    got = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, LABELS)).collect()}
+    assert got[0] == 1 and got[1] == 0
+
+
 def corpus():
     rng = np.random.default_rng(3)
     docs, labels = [], []

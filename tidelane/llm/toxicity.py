@@ -1,8 +1,8 @@
 """Toxicity of deobfuscated text (operator 5).
 
-Noisy channel: a word that looks disguised (digits or signs between letters,
-letters repeated three times or more, separators inside, letters spaced out) is a
-lattice of characters.  Each observed character may stand for itself, for the
+Noisy channel: a word that looks disguised (digits or signs between letters or at its
+ends, repeated letters, separators inside, letters spaced out) is a lattice of
+characters.  Each observed character may stand for itself, for the
 letters it resembles, or for nothing (separators, repetitions); a Viterbi search
 takes the path that a character trigram language model finds most likely.  In a
 run of spaced-out letters the path may also end a word at any space, and every
@@ -11,12 +11,15 @@ word of it counts.
 The language model counts trigrams over all texts.  Word weights are log-odds of
 words and word beginnings in toxic and clean documents, shrunk so that rare words
 weigh nothing; a logistic curve turns a document's strongest weights into a score.
-Words and curve are learnt from a bounded sample of labelled documents.
+Words and curve are learnt from a bounded sample of labelled documents, whole texts,
+which stay on the executors: only counts of words, and two numbers a document, reach
+the driver.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import as_bytes, col, mix, slices
+from tidelane.llm.common import as_bytes, col, mix, release, save, slices
 
-#: Labelled documents that are learnt from, and the most bytes of each.
-MOST_TOXIC, MOST_CLEAN, SAMPLE_BYTES = 2000, 4000, 200_000
+#: Labelled documents that are learnt from.
+MOST_TOXIC, MOST_CLEAN = 2000, 4000
 THRESHOLD = 0.7
 #: Documents' worth of doubt in every word, and the least weight that counts.
 DOUBT, LEAST_WEIGHT, LEAST_DOCUMENTS = 12.0, 1.5, 4
@@ -43,6 +46,9 @@ _AS_LETTER, _NO_SIGN, _NO_SEPARATOR, _NO_REPEAT = 0.7, 4.0, 0.3, 0.5
 #: What an average letter costs under the model; longer readings are not worse for their length.
 _PER_LETTER = 2.7
 _STRIP = " \t\n\v\f\r.,;:!?\"'`()[]{}<>#*%&|~^_-+=/\\$@…«»“”‘’–—"
+#: What surrounds words and stands for no letter.
+_QUIET = "".join(c for c in _STRIP if c not in RESEMBLES)
+_DOUBLED = re.compile(r"(.)\1+")
 _CODES = 64
 
 
@@ -170,18 +176,29 @@ class Words:
 
     def __init__(self, channel: CharacterModel, weights: dict[str, float]) -> None:
         self.channel, self.weights, self.memory = channel, weights, {}
+        self.single = {_DOUBLED.sub(r"\1", f) for f in weights}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memory": {}}
 
     def restored(self, word: str) -> list[str]:
-        """What a word may have been: itself, or readings if it looks disguised."""
-        core = word.strip(_STRIP)
-        if core.isalpha() and not disguised(core):
-            return [core.lower()]
-        if disguised(core):
-            return self.channel.readings(core if core.isalpha() else word.strip(" \t\n\v\f\r.,;:?\"'`"))
-        return []
+        """What a word may have been: itself, then readings if it looks disguised.
+
+        Signs at a word's ends may be letters or mere punctuation, and doubled
+        letters may be right: such words are themselves first, and the lattice
+        decides on the rest.  Doubled letters are decoded only where a weighty word
+        has the same letters but for doubling.
+        """
+        core, whole = word.strip(_STRIP), word.strip(_QUIET)
+        plain = core.isalpha() and not disguised(core)
+        out = [core.lower()] if plain else []
+        if not plain and disguised(core):
+            out = self.channel.readings(core if core.isalpha() else whole)
+        elif whole != core and disguised(whole):
+            out += self.channel.readings(whole)
+        if plain and self.single and any(f in self.single for f in features(_DOUBLED.sub(r"\1", out[0]))):
+            out += self.channel.readings(core)
+        return list(dict.fromkeys(out))
 
     def weight(self, word: str) -> float:
         get = self.weights.get
@@ -230,56 +247,38 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
+def restored_words(words: Words, raw: bytes) -> set[str]:
+    """Distinct words of a text as they count when weights are learnt."""
+    parts = raw.split()
+    known = {r for w in {w.decode("utf-8", "replace") for w in parts} for r in words.restored(w)[:1]}
+    read = words.channel.readings
+    return known | {w for s in set(spaced_out(parts)) for r in (read(s)[:1], read(s, bounds=True)[:1]) for x in r for w in x.split()}
+
+
+def document_features(words: Words, raw: bytes) -> set[str]:
+    return {f for w in restored_words(words, raw) for f in features(w)}
+
+
+def word_weights(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Log-odds of features that stand in enough toxic documents, from counts of documents."""
+    # a beginning speaks for itself only if no one word makes most of its documents
+    most: dict[str, int] = {}
+    for f, n in toxic.items():
+        if not f.endswith("~"):
+            most.update((b, max(n, most.get(b, 0))) for b in features(f)[1:])
+    prior = n_toxic / max(n_toxic + n_clean, 1)
+    if not 0 < prior < 1:
+        return {}
+    kept = {f: n for f, n in toxic.items() if n >= LEAST_DOCUMENTS and n >= 2 * most.get(f, 0)}
+    out = {f: math.log((n + DOUBT * prior) / (clean[f] + DOUBT * (1 - prior)) * (1 - prior) / prior) for f, n in kept.items()}
+    return {f: w for f, w in out.items() if w >= LEAST_WEIGHT}
+
+
 class Model:
-    """Word weights and the curve that makes scores of them."""
-
-    def __init__(self, channel: CharacterModel, texts: list[bytes], labels: list[int]) -> None:
-        self.words = Words(channel, {})
-        self.curve = None
-        keep = _unlike(texts)
-        texts, y = [texts[i] for i in keep], np.array([labels[i] for i in keep])
-        self.base = float(y.mean()) if len(y) else 0.0
-        if not 0 < y.sum() < len(y):
-            return
-        shared: dict[str, str] = {}
-        tokens = [[shared.setdefault(r, r) for r in self._restored(t)] for t in texts]
-        fold = np.array([zlib.crc32(t) % 2 for t in texts])
-        x, kept = [], []
-        for part in (0, 1):  # a document's signals come from the other half's words
-            learnt = self._weights([t for t, f in zip(tokens, fold, strict=True) if f != part], y[fold != part])
-            words = Words(channel, learnt)
-            for i in np.flatnonzero(fold == part).tolist():
-                x.append(words.signals(texts[i]))
-                kept.append(i)
-        self.curve = _logistic(np.array(x), y[kept])
-        self.words = Words(channel, self._weights(tokens, y))
-
-    def _restored(self, raw: bytes) -> set[str]:
-        words = raw.split()
-        known = {r for w in {w.decode("utf-8", "replace") for w in words} for r in self.words.restored(w)[:1]}
-        read = self.words.channel.readings
-        return known | {w for s in set(spaced_out(words)) for r in (read(s)[:1], read(s, bounds=True)[:1]) for x in r for w in x.split()}
-
-    @staticmethod
-    def _weights(tokens: list[list[str]], y: np.ndarray) -> dict[str, float]:
-        """Log-odds of features that stand in enough toxic documents; ``tokens`` are distinct words."""
-        toxic: Counter = Counter()
-        for words, label in zip(tokens, y, strict=True):
-            if label:
-                toxic.update({f for w in words for f in features(w)})
-        # a beginning speaks for itself only if no one word makes most of its documents
-        most: dict[str, int] = {}
-        for f, n in toxic.items():
-            if not f.endswith("~"):
-                most.update((b, max(n, most.get(b, 0))) for b in features(f)[1:])
-        toxic = {f: n for f, n in toxic.items() if n >= LEAST_DOCUMENTS and n >= 2 * most.get(f, 0)}
-        clean: Counter = Counter()
-        for words, label in zip(tokens, y, strict=True):
-            if not label:
-                clean.update({f for w in words for f in features(w) if f in toxic})
-        prior = y.mean()
-        out = {f: math.log((n + DOUBT * prior) / (clean[f] + DOUBT * (1 - prior)) * (1 - prior) / prior) for f, n in toxic.items()}
-        return {f: w for f, w in out.items() if w >= LEAST_WEIGHT}
+    """Word weights and the curve that makes scores of them; without a curve all score ``base``."""
+
+    def __init__(self, words: Words, curve: np.ndarray | None, base: float) -> None:
+        self.words, self.curve, self.base = words, curve, base
 
     def score(self, raw: bytes | None) -> float:
         if self.curve is None:
@@ -288,17 +287,21 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.curve @ (a, b, 1.0), -30, 30))))
 
 
-def _unlike(texts: list[bytes]) -> list[int]:
-    """Places of texts none of whose two least shingle hashes was seen before: copies teach once."""
+def _marks(raw: bytes) -> tuple[int, int]:
+    """Two least shingle hashes of a text, which near copies mostly share."""
+    words = raw.split()
+    h = np.array([zlib.crc32(b" ".join(words[k : k + 5])) for k in range(max(1, len(words) - 4))], np.uint64)
+    return tuple(int(mix(h + np.uint64(s << 40)).min()) >> 1 for s in (1, 2))
+
+
+def _unlike(marks: list[tuple[int, int]]) -> list[int]:
+    """Places of texts none of whose marks was seen before: copies teach once."""
     seen: set = set()
     out = []
-    for i, raw in enumerate(texts):
-        words = raw.split()
-        h = np.array([zlib.crc32(b" ".join(words[k : k + 5])) for k in range(max(1, len(words) - 4))], np.uint64)
-        marks = {(s, int(mix(h + np.uint64(s << 40)).min())) for s in (1, 2)}
-        if not marks & seen:
+    for i, (a, b) in enumerate(marks):
+        if not {(1, a), (2, b)} & seen:
             out.append(i)
-        seen |= marks
+        seen |= {(1, a), (2, b)}
     return out
 
 
@@ -324,17 +327,75 @@ def character_model(docs: DataFrame, text: str = "text") -> CharacterModel:
     return CharacterModel(counts)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Learn from the labelled documents with the least id hashes, toxic and clean.
+def sample(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The saved rows (id, y, t, text) of the labelled documents with the least id hashes, toxic and clean.
 
-    A null label or id teaches nothing; neither does an id with both labels.
+    A null label or id teaches nothing; neither does an id with both labels.  Of
+    rows that share an id the text with the least hash t counts.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     rows = rows.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("id", "y")
     ids = rows.where("y = 1").orderBy(F.xxhash64("id"), "id").limit(MOST_TOXIC).unionByName(rows.where("y = 0").orderBy(F.xxhash64("id"), "id").limit(MOST_CLEAN))
-    texts = docs.select(col(doc_id).cast("long").alias("id"), col(text).cast("string").alias("text")).where("text IS NOT NULL")
-    got = texts.join(F.broadcast(ids), "id").select("id", "y", F.substring("text", 1, SAMPLE_BYTES).alias("text")).orderBy(F.xxhash64("id"), "id", "text").collect()
-    return Model(character_model(docs, text), [r["text"].encode() for r in got], [r["y"] for r in got])
+    texts = docs.select(col(doc_id).cast("long").alias("id"), col(text).cast("string").alias("text")).where("text IS NOT NULL").withColumn("t", F.xxhash64("text"))
+    least = texts.select("id", "t").join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("t").alias("t"))
+    return save(texts.join(F.broadcast(least), ["id", "t"]).dropDuplicates(["id", "t"]).select("id", "y", "t", "text"), "labelled-texts")
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Model:
+    """Learn from a bounded sample of labelled documents (see ``sample``)."""
+    channel = character_model(docs, text)
+    chosen = sample(docs, labels, doc_id=doc_id, text=text)
+    model = learn(channel, chosen)
+    release(chosen)
+    return model
+
+
+def learn(channel: CharacterModel, chosen: DataFrame) -> Model:
+    """From saved rows (id, y, t, text): counts of words in two halves, then every document's signals from the other half's words."""
+    spark, plain = chosen.sparkSession, Words(channel, {})
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            marks = [_marks(x) for x in as_bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64())], names=["id", "y", "a", "b"])
+
+    rows = chosen.select("id", "y", "text").mapInArrow(marked, "id long, y int, a long, b long").orderBy(F.xxhash64("id"), "id").collect()
+    rows = [rows[i] for i in _unlike([(r["a"], r["b"]) for r in rows])]
+    label, fold = {r["id"]: r["y"] for r in rows}, {r["id"]: r["a"] % 2 for r in rows}
+    base = sum(label.values()) / len(label) if label else 0.0
+    if not 0 < base < 1:
+        return Model(plain, None, base)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in slices(batches):
+            for key, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+                if key in label:
+                    total.update((f, fold[key], label[key]) for f in document_features(plain, raw))
+        for at in range(0, len(total), 100_000):
+            part = list(total.items())[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.string()), *[pa.array([k[x] for k, _ in part], pa.int32()) for x in (1, 2)], pa.array([n for _, n in part], pa.int64())], names=["f", "fold", "y", "n"])
+
+    sums = [F.sum(F.when((F.col("fold") == k) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{k}{y}") for k in (0, 1) for y in (0, 1)]
+    counts = chosen.select("id", "text").mapInArrow(counted, "f string, fold int, y int, n long").groupBy("f").agg(*sums)
+    found = counts.where(F.col("n01") + F.col("n11") >= LEAST_DOCUMENTS - 1).collect()
+
+    def weights(folds: tuple[int, ...]) -> dict[str, float]:
+        toxic, clean = (Counter({r["f"]: sum(r[f"n{k}{y}"] for k in folds) for r in found}) for y in (1, 0))
+        part = [label[i] for i in label if fold[i] in folds]
+        return word_weights(toxic, clean, sum(part), len(part) - sum(part))
+
+    halves = spark.sparkContext.broadcast([Words(channel, weights((1,))), Words(channel, weights((0,)))])
+
+    def signalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            got = [(key, *halves.value[fold[key]].signals(raw)) for key, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True) if key in label]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), *[pa.array([float(g[k]) for g in got]) for k in (1, 2)]], names=["id", "a", "b"])
+
+    x = chosen.select("id", "text").mapInArrow(signalled, "id long, a double, b double").orderBy("id").collect()
+    curve = _logistic(np.array([(r["a"], r["b"]) for r in x]), np.array([label[r["id"]] for r in x]))
+    return Model(Words(channel, weights((0, 1))), curve, base)
 
 
 def score(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, model: Model | None = None) -> DataFrame:
