@@ -21,7 +21,7 @@ def scan(model, text, size):
     seen = pieces.seen_text(text)
     parts = []
     for lo in range(0, len(seen), size):
-        base = pieces._word_start(seen, max(0, lo - model.longest))
+        base = max(0, lo - model.longest)
         hi = min(lo + size, len(seen))
         parts.append(pieces.Chunk(model, seen[base : hi + model.longest], base, lo, hi))
     lefts, rights, matrices = zip(*[c.transfer() for c in parts], strict=True)
@@ -38,6 +38,16 @@ def test_scan_equals_the_library(model, alphabet):
         assert all(scan(model, text, size) == want for size in (20, 33, 64))
 
 
+@pytest.mark.parametrize("length", [5000, 100_000])
+def test_texts_without_spaces_take_linear_time(model, length):
+    rng = random.Random(length)
+    text = "".join(rng.choice("etaoinshrdlu-é") for _ in range(length))
+    assert scan(model, text, pieces.CHUNK if length > 50_000 else 999) == model.encode([text])[0]
+    assert scan(model, text[:4000] + " and " + text[:3000] + " " + text, pieces.CHUNK)[:1000] == model.encode([text[:4000] + " and "])[0][:1000]
+    chars = list(pieces.seen_text(text))
+    assert [i for x in model.merged(chars) for i in model.spelt(x)] == model.encode([text])[0]
+
+
 def test_max_plus_product_is_associative():
     rng = np.random.default_rng(0)
     a, b, c = (np.where(rng.random((4, 4)) < 0.4, -np.inf, rng.normal(size=(4, 4))) for _ in range(3))

@@ -16,11 +16,14 @@ the two pieces' characters alone would give, so paths weigh 0 and forbidden
 neighbours minus infinity.  In a unigram model pieces weigh their scores and any
 may be neighbours.  A piece never holds a space after another character, so a cut
 before a space is a boundary of every path; from the first such cut in a chunk to
-its last the library encodes the text, and the lattice spans what is left.
+its last the library encodes the text, and the lattice spans what is left; in a text
+without spaces that is all of it.  A chunk carries as many characters before and after
+it as the longest piece has, whatever the text.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,17 +78,32 @@ class Pieces:
         return found if found and len(found[0]) == 1 else [text[at], *found]
 
     def merged(self, chars: list[str]) -> list[str]:
-        """Byte-pair merges: the best scored neighbours first, the leftmost of equals."""
-        parts = list(chars)
-        while True:
-            best, where = None, -1
-            for k in range(len(parts) - 1):
-                s = self.score.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, where = s, k
-            if best is None:
-                return parts
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
+        """Byte-pair merges: the best scored neighbours first, the leftmost of equals; n log n steps."""
+        parts: list[str | None] = list(chars)
+        before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
+        queue: list[tuple[float, int, str]] = []
+
+        def offer(k: int) -> None:
+            if 0 <= k and after[k] < len(parts):
+                joined = parts[k] + parts[after[k]]
+                score = self.score.get(joined)
+                if score is not None:
+                    heapq.heappush(queue, (-score, k, joined))
+
+        for k in range(len(parts) - 1):
+            offer(k)
+        while queue:
+            _, k, joined = heapq.heappop(queue)
+            # an offer is void once either side has changed
+            if parts[k] is None or after[k] >= len(parts) or parts[k] + parts[after[k]] != joined:
+                continue
+            gone = after[k]
+            parts[k], parts[gone], after[k] = joined, None, after[gone]
+            if after[k] < len(parts):
+                before[after[k]] = k
+            offer(before[k])
+            offer(k)
+        return [x for x in parts if x is not None]
 
     def neighbours(self, a: str, b: str) -> bool:
         """Whether piece b may follow piece a."""
@@ -184,7 +202,7 @@ class Chunk:
         """States over the left and the right boundary, and the matrix between them."""
         left, right = self.over(self.lo), self.over(self.hi)
         matrix = np.full((len(left), len(right)), _NONE)
-        if self.cuts is None:
+        if self.cuts is None or self.cuts[0] == self.hi:  # nothing is free between two cuts
             best, _ = self.paths(left, self.hi)
             for j, s in enumerate(right):
                 if s in best:
@@ -209,6 +227,7 @@ class Chunk:
         return self._before_cut() == s
 
     def _before_cut(self) -> State:
+        """The last occurrence before the last cut; its word lies between two cuts of the chunk."""
         last = self.cuts[1] - self.base
         start = last - 1
         while start > 0 and not (self.text[start] == SPACE and self.text[start - 1] != SPACE):
@@ -234,7 +253,7 @@ class Chunk:
         """Ids of the path after the left state up to and with the right one."""
         if left == right:
             return []
-        if self.cuts is None or left[1] >= self.cuts[1]:
+        if self.cuts is None or self.cuts[0] == self.hi or left[1] >= self.cuts[1]:
             out = self._trace([left], self.hi, lambda s: s == right)
             return [i for s in out for i in self.p.spelt(self.piece(s))]
         first, last = self.cuts
@@ -302,20 +321,13 @@ def _chunks(texts: DataFrame, path: str, chunk: int) -> DataFrame:
                 rows = []
                 for k, lo in enumerate(range(0, len(seen), chunk)):
                     hi = min(lo + chunk, len(seen))
-                    base = _word_start(seen, max(0, lo - around))
+                    base = max(0, lo - around)
                     rows.append((key, mark, k, base, lo, hi, len(seen), seen[base : hi + around]))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "mark", "chunk", "base", "lo", "hi", "length", "text"])
 
     return texts.mapInArrow(run, _CHUNKS)
 
 
-def _word_start(seen: str, at: int) -> int:
-    """The last cut at or before a place."""
-    while at > 0 and not (seen[at] == SPACE and seen[at - 1] != SPACE):
-        at -= 1
-    return at
-
-
 _ENCODED = "doc_id long, mark long, chunk int, ids binary, n_chars long, round_trip boolean"
 
 
