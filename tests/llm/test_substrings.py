@@ -54,18 +54,16 @@ def test_equals_brute_force(spark, vocabulary):
     assert run(spark, rows, window=5 if vocabulary == 50 else 7, group_suffixes=50) == brute(rows, 5 if vocabulary == 50 else 7)
 
 
-def test_long_prefixes_and_salts(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "GROUP_SUFFIXES", 8)
+def test_long_prefixes_and_salts(spark):
     rows = corpus(1, n=200, vocabulary=3)
-    assert run(spark, rows, window=7, group_suffixes=40) == brute(rows, 7)
+    assert run(spark, rows, window=7, group_suffixes=8) == brute(rows, 7)
 
 
-def test_salted_first_holders_lose_every_place_of_a_hot_window(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "GROUP_SUFFIXES", 8)
+def test_salted_first_holders_lose_every_place_of_a_hot_window(spark):
     passage = " ".join(f"p{k}" for k in range(9))
     rows = [(i, f"a{i} {passage} b{i} {passage} c{i} {passage} " + "x " * (9 + i % 3)) for i in range(40)]
     rows += [(50, rows[7][1] + "tail"), (7, rows[7][1]), (7, rows[7][1] + passage)]
-    assert run(spark, rows, window=7, group_suffixes=40) == brute(rows, 7)
+    assert run(spark, rows, window=7, group_suffixes=8) == brute(rows, 7)
 
 
 def test_very_long_text_is_cut_into_segments(monkeypatch):
@@ -89,6 +87,27 @@ def test_sorted_suffixes_have_their_common_prefixes():
     assert len(node) == 5 and len(set(node.tolist())) == 2
 
 
+def test_internal_nodes_are_the_branching_prefixes():
+    """Every prefix of ``depth`` words or more that two suffixes share and then leave apart, and who is below."""
+    rng = np.random.default_rng(4)
+    runs = [[f"{x}" for x in rng.integers(0, 3, rng.integers(4, 14))] for _ in range(40)]
+    tree = substrings.Subtree(substrings.Text("\n".join(" ".join(r) for r in runs).encode()), 4)
+    tails = [tuple(runs[tree.run[k]][tree.within[k] :]) for k in tree.suffix.tolist()]
+    assert len(tails) > 100
+    assert tree.lcp.tolist() == [next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for a, b in zip(tails, tails[1:], strict=False)]
+    below: dict = {}
+    for t in tails:
+        for n in range(4, len(t) + 1):
+            below.setdefault(t[:n], set()).add(t)
+    count = {w: sum(t[: len(w)] == w for t in tails) for w in below}
+    # a node: more suffixes share the prefix than any longer one
+    want = {w for w, n in count.items() if n > 1 and all(count[v] < n for v in below if len(v) == len(w) + 1 and v[: len(w)] == w)}
+    nodes = tree.internal_nodes(4)
+    assert {tails[a][:d] for d, a, _, _ in nodes} == want and len(nodes) == len(want)
+    assert all(b - a + 1 == count[tails[a][:d]] for d, a, b, _ in nodes)
+    assert {tails[a][:4] for _, a, _, top in nodes if top} == {w[:4] for w in want} and sum(top for *_, top in nodes) == len({w[:4] for w in want})
+
+
 def test_empty_table(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], SCHEMA), others=("spans",)).collect() == []
 

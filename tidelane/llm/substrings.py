@@ -13,10 +13,11 @@ anchor and travel as one run of text.  A prefix that alone would fill a group is
 lengthened: to five words, then to the whole window, which is at last salted by
 document (the salted groups' first holders then meet in a second round).
 
-A group's subtree is held as sorted suffixes with their longest common prefixes;
-neighbours that share ``window`` words or more hang below one deep internal node,
-and every suffix below it from a document other than the least is a repeat.
-Words are compared as words throughout; hashes only deal suffixes out.
+A group's subtree is held as suffixes sorted to the ends of their runs, with the
+common prefixes of neighbours; a stack over these gives its internal nodes, each an
+interval of suffixes and a depth in words.  Below a node of ``window`` words or more
+every suffix of a document other than the least is a repeat.  Words are compared as
+words throughout; hashes only deal suffixes out.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ _BUCKETS = 1 << 20
 #: Places take the low 24 bits of a packed hash; they tell neighbours apart, so they may wrap.
 _SEGMENT = 4_000_000
 _LOW = np.uint64((1 << 24) - 1)
-_SALTS = 64
-
+#: Into how many groups a hot window is salted, at least and at most.
+_SALTS, _MOST_SALTS = 64, 1 << 16
 
 _R = np.uint64(0xD6E8FEB86659FD93)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -153,12 +154,16 @@ def _parts(batches, window):
             yield got
 
 
-def _counts(docs: DataFrame, window: int) -> tuple[int, list[np.ndarray]]:
-    """All windows, and for each prefix length the buckets that hold too many of them.
+def _counts(docs: DataFrame, window: int, group_suffixes: int) -> tuple[int, list[np.ndarray], int]:
+    """All windows, for each prefix length the buckets that hold too many of them, and salts for the largest.
 
-    A task reports only buckets with 1/4096 of its own windows or more, so the
-    sums that reach the driver are bounded.  They steer the split, not the result.
+    A task reports a bucket if it has more than its part of an eighth of what is too
+    many, going by the task's share of all windows (of which there is less than one
+    for two bytes of text).  So no bucket of 9/8 is missed, and the driver gets
+    ``_BUCKETS`` sums a level at most.  They steer the split, not the result.
     """
+    many = max(group_suffixes // 4, 1)
+    most = max(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 2) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, sums = 0, [np.zeros(_BUCKETS, np.int64) for _ in (*PREFIXES, window)]
@@ -168,13 +173,15 @@ def _counts(docs: DataFrame, window: int) -> tuple[int, list[np.ndarray]]:
                 held += np.bincount((part.anchors(n) >> np.uint64(44)).astype(np.int64), minlength=_BUCKETS)
         rows = [(-1, 0, total)]
         for k, held in enumerate(sums):
-            rows += [(k, int(b), int(held[b])) for b in np.flatnonzero(held > max(total >> 12, 1))]
+            rows += [(k, int(b), int(held[b])) for b in np.flatnonzero(held > max(1, min(total >> 12, many * total // (8 * most))))]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["level", "bucket", "n"])
 
     got = docs.mapInArrow(run, "level long, bucket long, n long").groupBy("level", "bucket").agg(F.sum("n").alias("n"))
-    got = got.where((F.col("level") < 0) | (F.col("n") > GROUP_SUFFIXES // 4)).collect()
+    got = got.where((F.col("level") < 0) | (F.col("n") > many)).collect()
     total = sum(r["n"] for r in got if r["level"] < 0)
-    return total, [np.array(sorted(r["bucket"] for r in got if r["level"] == k), np.int64) for k in range(len(PREFIXES) + 1)]
+    largest = max((r["n"] for r in got if r["level"] == len(PREFIXES)), default=0)
+    salts = min(max(_SALTS, -(-largest // many)), _MOST_SALTS)
+    return total, [np.array(sorted(r["bucket"] for r in got if r["level"] == k), np.int64) for k in range(len(PREFIXES) + 1)], salts
 
 
 #: ``many`` holds how many places of its document each run of text stands at; null for one each.
@@ -188,7 +195,7 @@ def _emit(pack, g, salted, docs, owner, start, parts, many=None) -> tuple:
     return g, salted, pack(ids), pack(owner.astype("<u4").tobytes()), pack(start.astype("<i8").tobytes()), pack(b"\n".join(parts)), None if many is None else pack(many.astype("<i8").tobytes())
 
 
-def _deal(docs: DataFrame, groups: int, hot: list[np.ndarray], window: int) -> DataFrame:
+def _deal(docs: DataFrame, groups: int, hot: list[np.ndarray], window: int, salts: int = _SALTS) -> DataFrame:
     """Runs of suffixes, dealt to groups by the prefixes at their anchors."""
     tables = []
     for buckets in hot:
@@ -219,7 +226,7 @@ def _deal(docs: DataFrame, groups: int, hot: list[np.ndarray], window: int) -> D
             end = part.start[np.append(at[1:], len(key)) - 1] + window
             deal = mix((key[at] & ~_LOW) + level[at])
             if salt.any():
-                own = mix(np.array([k for k, _ in part.docs], np.int64).view(np.uint64))[part.owner[at]] % np.uint64(_SALTS)
+                own = mix(np.array([k for k, _ in part.docs], np.int64).view(np.uint64))[part.owner[at]] % np.uint64(salts)
                 deal = np.where(salt[at], mix(deal + own + np.uint64(1)), deal)
             group = (deal % np.uint64(groups)).astype(np.int64) * 2 + salt[at]
             order = np.argsort(group, kind="stable")
@@ -263,28 +270,51 @@ class Subtree:
         shared[order[1:]] |= same
         shared[order[:-1]] |= same
         self.suffix = np.flatnonzero(shared)
-        # the rest are sorted by their words themselves, numbered as they come
+        # the rest are sorted by their words themselves, numbered as they come, to the ends of their runs
+        end = last[self.run[self.suffix]]
         used = np.zeros(len(text.h) + 1, np.int64)
         np.add.at(used, self.place[self.suffix], 1)
-        np.add.at(used, self.place[self.suffix] + window, -1)
+        np.add.at(used, end, -1)
         used = np.flatnonzero(np.cumsum(used[:-1]))
         numbers: dict[bytes, int] = {}
         ids = np.zeros(len(text.h), np.int32)
         joined = text.joined
         ids[used] = [numbers.setdefault(joined[a:b], len(numbers)) for a, b in zip(text.starts[used].tolist(), text.ends[used].tolist(), strict=True)]
-        columns = [ids[self.place[self.suffix] + k] for k in range(window)]
-        rank = np.lexsort(columns[::-1])
+        left = end - self.place[self.suffix]
+        columns = [np.where(k < left, ids[np.minimum(self.place[self.suffix] + k, end - 1)], -1) for k in range(int(left.max(initial=0)))]
+        rank = np.lexsort(columns[::-1]) if columns else np.zeros(0, np.int64)
         self.suffix = self.suffix[rank]
         self.lcp = np.zeros(max(len(rank) - 1, 0), np.int64)
         alive = np.ones(len(self.lcp), bool)
         for c in columns:
             c = c[rank]
-            alive &= c[1:] == c[:-1]
+            alive &= (c[1:] == c[:-1]) & (c[1:] >= 0)
             self.lcp += alive
 
+    def internal_nodes(self, depth: int) -> list[tuple[int, int, int, bool]]:
+        """The internal nodes of ``depth`` words or more, children before parents, from a stack over the common prefixes.
+
+        Each is its depth, its first and last sorted suffix, and whether no such node
+        is above it.
+        """
+        out: list[tuple[int, int, int, bool]] = []
+        stack: list[tuple[int, int]] = []
+        for i, common in enumerate([*self.lcp.tolist(), 0]):
+            first = i
+            while stack and stack[-1][0] > common:
+                deep, first = stack.pop()
+                out.append((deep, first, i, common < depth and not stack))
+            if common >= depth and (not stack or stack[-1][0] < common):
+                stack.append((common, first))
+        return out
+
     def deep_nodes(self, depth: int) -> np.ndarray:
-        """For each sorted suffix, the number of the internal node of that depth above it."""
-        return np.concatenate([[0], np.cumsum(self.lcp < depth)]) if len(self.suffix) else np.zeros(0, np.int64)
+        """For each sorted suffix, the number of the highest node of that depth above it, or of itself."""
+        new = np.ones(len(self.suffix), bool)
+        for _, first, last, top in self.internal_nodes(depth):
+            if top:
+                new[first + 1 : last + 1] = False
+        return np.cumsum(new) - 1
 
 
 _FOUND = "kind int, doc_id long, mark long, spans binary, g long, docs binary, owner binary, start binary, text binary, many binary"
@@ -375,9 +405,9 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     first and last start; a document may have several rows.
     """
     rows = docs.select(col(doc_id).cast("long").alias("doc_id"), F.xxhash64(col(text)).alias("mark"), col(text).cast("string").alias("text"))
-    total, hot = _counts(rows, window)
+    total, hot, salts = _counts(rows, window, group_suffixes)
     groups = max(1, -(-total // group_suffixes))
-    runs = _deal(rows, groups, hot, window)
+    runs = _deal(rows, groups, hot, window, salts)
     found = runs.groupBy("g", "round").applyInArrow(_repeats(window), _FOUND)
     if not len(hot[-1]):
         return found.select("doc_id", "mark", "spans")
