@@ -60,24 +60,49 @@ def test_fingerprints_and_components(spark):
     assert any(len(list(g)) > 2 for _, g in itertools.groupby(sorted(c for _, _, c in want if c is not None)))
 
 
-@pytest.mark.parametrize("blocks", [5, 6, 7, 9])
-def test_tables_lose_no_link(blocks):
+@pytest.mark.parametrize("blocks", [2, 3, 4, 5])
+def test_neighbouring_cells_lose_no_link(blocks):
+    """Of two fingerprints within four bits one lies in or visits a cell of the other in some grid."""
     rng = np.random.default_rng(blocks)
-    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
-    flips = np.zeros(300, np.uint64)
+    base = rng.integers(0, 2**63, 120, dtype=np.uint64)
+    flips = np.zeros(120, np.uint64)
     for _ in range(4):
-        flips |= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+        flips |= np.uint64(1) << rng.integers(0, 64, 120).astype(np.uint64)
     x, y = simhash.embed(base), simhash.embed(base ^ flips)
     assert (np.bitwise_count(x ^ y) <= np.bitwise_count(flips)).all()
-    same = np.array([(x ^ y) & np.uint64(m) == 0 for m in simhash.masks(blocks, 4)])
-    assert same.any(axis=0).all()
-
-
-@pytest.mark.parametrize("size", [20, 200])
-def test_cells_join_what_is_linked(size):
+    met = np.zeros(120, int)
+    for segments in simhash.grids(blocks):
+        here = simhash.mask(segments)
+        met += (x ^ y) & here == 0
+        for a, b in ((x, y), (y, x)):
+            for at, moved in simhash.visits(a, segments, 4 // blocks):
+                assert (np.bitwise_count((moved ^ a[at]) & here) <= 4 // blocks).all() and ((moved ^ a[at]) & ~here == 0).all()
+                met[at] += (moved ^ b[at]) & here == 0
+    assert (met > 0).all()
+
+
+def test_every_neighbour_is_visited_once_and_one_way():
+    e = simhash.embed(np.array([0b00_01_11_00, 0b01_11_00_01], np.uint64))
+    segments = range(4)
+    cells = [int(m) for at, moved in simhash.visits(e[:1], segments, 2) for m in moved]
+    counts = lambda c: [(c >> 2 * s & 3).bit_count() for s in segments]
+    own = counts(int(e[0]))
+    near = [c for c in np.ndindex(3, 3, 3, 3) if 0 < sum(abs(a - b) for a, b in zip(c, own, strict=True)) <= 2]
+    up = [c for c in near if next(a - b for a, b in zip(c, own, strict=True) if a != b) > 0]
+    assert sorted(tuple(counts(c)) for c in cells) == sorted(up)
+
+
+def test_more_fingerprints_get_finer_cells():
+    assert [simhash.blocks_for(n, 4) for n in (100, 300_000, 10**9)] == sorted([simhash.blocks_for(n, 4) for n in (100, 300_000, 10**9)], reverse=True)
+    assert simhash.blocks_for(300_000, 4) == 3 and simhash.blocks_for(10**9, 4) == 2
+
+
+@pytest.mark.parametrize(("size", "large"), [(20, 2048), (200, 2048), (200, 50)])
+def test_cells_join_what_is_linked(size, large, monkeypatch):
+    monkeypatch.setattr(simhash, "_LARGE", large)
     rng = np.random.default_rng(size)
     fp = np.unique(np.concatenate([rng.integers(0, 2**62, 5)[:, None] ^ (1 << rng.integers(0, 30, size))[None, :]]).ravel())
-    u, v = simhash.linked_in_cells(np.zeros(len(fp), np.int64), fp, 4)
+    u, v = simhash.linked_in_cells(np.zeros(len(fp), np.int64), fp, np.ones(len(fp), bool), 4)
     root = {int(a): int(a) for a in fp}
 
     def top(a):

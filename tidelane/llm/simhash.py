@@ -5,18 +5,19 @@ segment's bit count.  Manhattan distance between embeddings never exceeds
 Hamming distance, so pairs within ``distance`` bits are found by a range join
 under Manhattan distance and then verified on the bits.
 
-The range join runs on a grid: the segments are dealt to B blocks, and two
-embeddings at Manhattan distance r or less agree on at least B - r whole blocks.
-Every choice of B - r blocks gives one table of cells keyed by the counts in
-those blocks.  B grows with the number of fingerprints, so that a cell's
-expected population stays small at any size; no cell is capped.
+The range join runs on grids: the segments are dealt to B blocks, one grid each, whose
+cells are keyed by the counts in the block.  Two embeddings at Manhattan distance r or
+less are at distance r // B or less in one block at least, so every fingerprint lies in
+its own cell of each grid and visits the neighbouring cells within r // B of it; of two
+neighbours one visits the other.  B is chosen by the number of fingerprints: fewer
+blocks make finer cells and more visits.  No cell is capped; a large one is joined on
+equal stretches of bits, of which any pair within ``distance`` bits has one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
-from math import comb
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,9 @@ SEED = 42
 #: Keyed rows that one task compares, by expectation.
 ROWS_PER_TASK = 1_000_000
 _CHUNK = 1_000_000
-#: Cells up to this many members are compared in step, all cells at once.
-_SMALL = 32
+#: Cells up to this many members are compared in step, all cells at once; larger ones
+#: than the second number are split by stretches of bits.
+_SMALL, _LARGE = 32, 2048
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -87,6 +89,49 @@ def embed(x: np.ndarray) -> np.ndarray:
     return (low | high) | ((low & high) << np.uint64(1))
 
 
+def grids(blocks: int) -> list[range]:
+    """The segments of each block."""
+    edges = [round(k * 32 / blocks) for k in range(blocks + 1)]
+    return [range(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def mask(segments: range) -> np.uint64:
+    """The bits of the embedding that make a grid's cells."""
+    return np.uint64(sum(3 << 2 * s for s in segments))
+
+
+def visits(e: np.ndarray, segments: range, radius: int, first: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Cells within the Manhattan radius of embeddings, as (places in ``e``, changed embeddings).
+
+    Of two opposite ways the one that first goes up is taken, so that of two cells one
+    visits the other.
+    """
+    for s in segments if radius else ():
+        low, high = np.uint64(1 << 2 * s), np.uint64(2 << 2 * s)
+        count = ((e & low) > 0).astype(np.int64) + ((e & high) > 0)
+        for step in (1, 2, -1, -2)[: 2 if first else 4]:
+            if abs(step) > radius:
+                continue
+            at = np.flatnonzero((count + step >= 0) & (count + step <= 2))
+            if not len(at):
+                continue
+            to = (count[at] + step)[:, None] == np.arange(3)
+            moved = (e[at] & ~(low | high)) | (to @ np.array([0, 1, 3], np.uint64).astype(np.int64)).astype(np.uint64) << np.uint64(2 * s)
+            yield at, moved
+            for deeper, more in visits(moved, range(s + 1, segments.stop), radius - abs(step), False):
+                yield at[deeper], more
+
+
+@lru_cache
+def _visited(segments: int, radius: int) -> float:
+    """Cells that a fingerprint visits, about: half of those within the radius."""
+    ways, inside = [1.0] + [0.0] * radius, 1.0
+    for _ in range(segments):  # a count of 0, 1 or 2 has 1.5 neighbours at one step
+        ways = [sum(ways[r - k] * (1, 1.5, 0.5)[k] for k in range(min(r, 2) + 1)) for r in range(radius + 1)]
+        inside = sum(ways)
+    return (inside - 1) / 2
+
+
 def blocks_for(n: int, distance: int) -> int:
     """Blocks with the least expected work for n fingerprints.
 
@@ -95,29 +140,26 @@ def blocks_for(n: int, distance: int) -> int:
     """
 
     def work(blocks: int) -> float:
-        tables = comb(blocks, distance)
-        return tables * (20 + n * 0.375 ** (32 * (blocks - distance) / blocks))
+        rows = blocks * (1 + _visited(32 // blocks, distance // blocks))
+        return rows * (20 + n * 0.375 ** (32 / blocks))
 
-    return min(range(distance + 1, 2 * distance + 9), key=work)
+    return min(range(2, distance + 2), key=work) if distance else 1
 
 
-def masks(blocks: int, distance: int) -> list[int]:
-    """For each table, the bits of the embedding that make its cells."""
-    edges = [round(k * 32 / blocks) for k in range(blocks + 1)]
-    block = [sum(3 << 2 * s for s in range(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return [sum(block[k] for k in chosen) for chosen in combinations(range(blocks), blocks - distance)]
-
+def _keyed(fps: DataFrame, blocks: int, distance: int) -> DataFrame:
+    """Rows (cell, fp, own): every fingerprint in its own cells and in those it visits."""
 
-def _keyed(fps: DataFrame, tables: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
             e = embed(fp.view(np.uint64))
-            for k, mask in enumerate(tables):
-                cell = mix((e & np.uint64(mask)) ^ mix(np.array([k + 1], np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(fp)], names=["cell", "fp"])
+            for k, segments in enumerate(grids(blocks)):
+                seed, here = mix(np.array([k + 1], np.uint64)), mask(segments)
+                for own, (at, moved) in [(True, (np.arange(len(e)), e)), *[(False, x) for x in visits(e, segments, distance // blocks)]]:
+                    cell = mix((moved & here) ^ seed)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(fp[at]), pa.array(np.full(len(at), own))], names=["cell", "fp", "own"])
 
-    return fps.mapInArrow(run, "cell long, fp long")
+    return fps.mapInArrow(run, "cell long, fp long, own boolean")
 
 
 def _near(x: np.ndarray, e: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int) -> np.ndarray:
@@ -128,31 +170,43 @@ def _near(x: np.ndarray, e: np.ndarray, i: np.ndarray, j: np.ndarray, distance:
     return out
 
 
-def linked_in_cells(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join all fingerprints linked within a cell; rows need not be sorted."""
-    order = np.lexsort((fp, cell))
-    cell, fp = cell[order], fp[order]
+def linked_in_cells(cell: np.ndarray, fp: np.ndarray, own: np.ndarray, distance: int, split: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join all fingerprints linked within a cell, visitors with what is its own; rows need not be sorted."""
+    order = np.lexsort((fp, ~own, cell))
+    cell, fp, own = cell[order], fp[order], own[order]
     x = fp.view(np.uint64)
     e = embed(x)
-    heads = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1)) if len(cell) else np.zeros(0, np.int64)
+    heads = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(heads, len(cell)))
     size = np.repeat(sizes, sizes)
     u, v = [], []
     small = size <= _SMALL
     for step in range(1, _SMALL):
-        i = np.flatnonzero(small[:-step] & (size[:-step] > step) & (cell[:-step] == cell[step:])) if len(cell) > step else np.zeros(0, np.int64)
+        i = np.flatnonzero(small[:-step] & own[:-step] & (size[:-step] > step) & (cell[:-step] == cell[step:])) if len(cell) > step else np.zeros(0, np.int64)
         if not len(i):
             break
         i = i[_near(x, e, i, i + step, distance)]
         u.append(fp[i])
         v.append(fp[i + step])
-    for a, n in zip(heads[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
+    if split and (large := size > _LARGE).any():
+        edges = [round(k * 64 / (distance + 1)) for k in range(distance + 2)]
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            part = x[large] & np.uint64((1 << b) - (1 << a))
+            inner = mix(mix(part) ^ cell[large].view(np.uint64) ^ mix(np.array([k + 1], np.uint64)))
+            a, b = linked_in_cells(inner.view(np.int64), fp[large], own[large], distance, False)
+            u.append(a)
+            v.append(b)
+    for a, n in zip(heads.tolist(), sizes.tolist(), strict=True):
+        if n <= _SMALL or (split and n > _LARGE):
+            continue
         left = np.arange(a, a + n)  # not yet reached; each is compared with every member that is reached
-        while len(left):
+        while len(left) and own[left[0]]:
             front, left = [left[0]], left[1:]
             while front and len(left):
                 here = front.pop()
                 hit = _near(x, e, left, np.full(len(left), here), distance)
+                if not own[here]:
+                    hit &= own[left]
                 got = left[hit]
                 if len(got):
                     u.append(fp[got])
@@ -165,11 +219,10 @@ def linked_in_cells(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np
 
 def _links(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        held = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(3)] for b in batches if b.num_rows]
         if not held:
             return
-        cell, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-        a, b = spanning_stars(*linked_in_cells(cell, fp, distance))
+        a, b = spanning_stars(*linked_in_cells(*[np.concatenate(x) for x in zip(*held, strict=True)], distance))
         for at in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000])], names=["a", "b"])
 
@@ -183,9 +236,9 @@ def groups(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     own = save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     n = own.count()
-    tables = masks(blocks_for(n, distance), distance)
-    tasks = max(1, -(-n * len(tables) // ROWS_PER_TASK))
-    edges = _keyed(own.select("fp"), tables).repartition(tasks, "cell").mapInArrow(_links(distance), "a long, b long")
+    blocks = blocks_for(n, distance)
+    rows = n * blocks * (1 + _visited(32 // blocks, distance // blocks))
+    edges = _keyed(own.select("fp"), blocks, distance).repartition(max(1, -(-int(rows) // ROWS_PER_TASK)), "cell").mapInArrow(_links(distance), "a long, b long")
     roots = components(edges)
     rooted = own.join(roots, own["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
