@@ -53,6 +53,26 @@ def register(arrivals: DataFrame, key: str, order: list[str], config: LaneConfig
     return first.join(ids, key, "left").select(key, F.coalesce("producer_id", F.lit(-1)).alias("producer_id"), F.col("producer_id").isNotNull().alias("accepted"))
 
 
+def producer_count(registered: DataFrame, config: LaneConfig) -> DataFrame:
+    """One row: lanes taken, arrivals refused, and lanes that are left."""
+    n = registered.agg(F.count_if("accepted").alias("producers"), F.count_if(~F.col("accepted")).alias("refused"))
+    return n.withColumn("free", F.lit(config.max_producers).cast("long") - F.col("producers"))
+
+
+def channel_metrics(messages: DataFrame, consumed: DataFrame, batch: int) -> DataFrame:
+    """Sent and received messages and batches of every lane; ``consumed`` has (producer_id, head)."""
+    sent = messages.groupBy("producer_id").agg(F.count(F.lit(1)).alias("sent"))
+    both = sent.join(consumed, "producer_id", "left").withColumn("received", F.least("sent", F.coalesce("head", F.lit(0))))
+    return both.select("producer_id", "sent", "received", F.ceil(F.col("sent") / batch).alias("batches_sent"), F.ceil(F.col("received") / batch).alias("batches_received"))
+
+
+def collector_metrics(tried: DataFrame) -> DataFrame:
+    """From tried sends: per collector lane what was submitted, found full, consumed, and is in flight at the end."""
+    last = F.max_by("occupied", "seq")
+    t = tried.groupBy("producer_id").agg(F.count_if("accepted").alias("submitted"), F.count_if(~F.col("accepted")).alias("full"), last.alias("in_flight"))
+    return t.withColumn("consumed", F.col("submitted") - F.col("in_flight"))
+
+
 def fifo_violations(messages: DataFrame) -> DataFrame:
     """Per lane, how many messages do not follow their predecessor by one."""
     before = F.lag("seq").over(Window.partitionBy("producer_id").orderBy("ts_us", "event_id"))

@@ -6,7 +6,7 @@ matters, lsn; ``markers`` has tx_id, op (Commit, Abort) and mlsn.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.functions.folds import ordered_fold
@@ -52,9 +52,24 @@ def group_commit(records: DataFrame, batch: int) -> DataFrame:
     return b.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("op") == "Commit").alias("waiters"), F.max("pos").alias("durable_lsn"))
 
 
+def group_commit_by_gap(records: DataFrame, batch: int, gap_us: int, keys: list[str]) -> DataFrame:
+    """Batches of every log (``keys``) that close when full, or when ``gap_us`` pass without a record.
+
+    The count starts anew after a gap, so a batch is a stretch of one run of
+    records: (keys, run_no, batch_no, records, first_us, last_us, by_gap).
+    """
+    order = Window.partitionBy(*keys).orderBy("pos")
+    late = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(order) >= gap_us, F.lit(False)).cast("long")
+    runs = records.withColumn("_late", late).withColumn("run_no", F.sum("_late").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.row_number().over(Window.partitionBy(*keys, "run_no").orderBy("pos")) - 1
+    b = runs.withColumn("batch_no", F.floor(place / batch)).groupBy(*keys, "run_no", "batch_no")
+    out = b.agg(F.count(F.lit(1)).alias("records"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+    return out.withColumn("by_gap", F.col("records") < batch)
+
+
 def entry_bytes() -> Column:
     """Header, variant, tx id, time, and length-prefixed key and value; updates and deletes hold the old value."""
-    text = lambda c: F.lit(8) + F.length(F.col(c).cast("string"))
+    text = lambda c: F.lit(8) + F.octet_length(F.col(c).cast("string"))
     values = F.when(F.col("op") == "Update", 2 * text("value")).otherwise(text("value"))
     return (F.lit(HEADER_BYTES + 4 + 8 + 8) + text("key") + values).cast("long")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.functions.folds import ordered_fold
+from tidelane.functions.ordering import running, with_position
 from tidelane.model import BreakerConfig, RetryConfig
 
 CLOSED, OPEN, HALF_OPEN = "Closed", "Open", "HalfOpen"
@@ -62,8 +63,23 @@ def circuit_breaker(batches: DataFrame, config: BreakerConfig, keys: list[str] |
 
 
 def rate_limit(batches: DataFrame, period_us: int, keys: list[str] | None = None) -> DataFrame:
-    """When each batch leaves: on the tick grid that starts with the first, one batch a tick, missed ticks skipped."""
-    rows = batches.select(*(keys or []), "batch_id", "at_us", F.lit(0).alias("_exporter"))
+    """When each batch leaves: on the tick grid that starts with the first, one batch a tick, missed ticks skipped.
+
+    The tick in which batch i leaves is the greatest of tick(j) + i - j over all
+    j up to i, a running maximum; one exporter's batches are taken in blocks.
+    """
+    if not keys:
+        placed = with_position(batches.select("batch_id", "at_us"), ["batch_id"], "_i")
+        start = placed.where("_i = 0").select(F.col("at_us").alias("_origin"))
+        origin = start.scalar()
+        tick = F.floor((F.col("at_us") - origin) / period_us)
+        peak = running(placed, "_i", tick - F.col("_i"), "max", "_peak")
+        # the batch before left in tick peak(i - 1) + i - 1, so this one not before the next
+        earlier = peak.select((F.col("_i") + 1).alias("_i"), (F.col("_peak") + F.col("_i") + 1).alias("_due"))
+        both = peak.join(earlier, "_i", "left")
+        leaves = F.greatest("at_us", origin + F.col("_due") * period_us)
+        return both.select("batch_id", leaves.cast("long").alias("leaves_us"), (leaves - F.col("at_us")).cast("long").alias("waited_us"))
+    rows = batches.select(*keys, "batch_id", "at_us")
 
     def step(state, row):
         batch, at = row
@@ -75,5 +91,4 @@ def rate_limit(batches: DataFrame, period_us: int, keys: list[str] | None = None
         after = origin + ((leaves - origin) // period_us + 1) * period_us
         return (origin, after), [(batch, leaves, leaves - at)]
 
-    out = ordered_fold(rows, keys or ["_exporter"], ["batch_id"], ["batch_id", "at_us"], lambda: None, step, lambda s: [], "batch_id long, leaves_us long, waited_us long")
-    return out.drop("_exporter")
+    return ordered_fold(rows, keys, ["batch_id"], ["batch_id", "at_us"], lambda: None, step, lambda s: [], "batch_id long, leaves_us long, waited_us long")

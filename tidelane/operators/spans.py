@@ -30,6 +30,12 @@ def traces(spans: DataFrame) -> DataFrame:
     return spans.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("span_id", "parent_span_id", "name", "status"))).alias("spans"))
 
 
+def trace_paths(spans: DataFrame) -> DataFrame:
+    """Traces as text: their spans' sequence numbers and names in arrival order."""
+    steps = F.transform("spans", lambda s: F.concat(id_sequence(s["span_id"]).cast("string"), F.lit(":"), s["name"]))
+    return traces(spans).select("trace_id", F.size("spans").cast("long").alias("n"), F.array_join(steps, ",").alias("path"))
+
+
 def children(spans: DataFrame) -> DataFrame:
     """Every span with the number of its direct children."""
     n = spans.where("parent_span_id <> 0").groupBy("trace_id", F.col("parent_span_id").alias("span_id")).agg(F.count(F.lit(1)).alias("children"))

@@ -11,6 +11,20 @@ def lost_write(lsn: Column, every: int) -> Column:
     return lsn % every == 0
 
 
+def seeded_fault(seed: int, kind: str, lsn: Column, ppm: int) -> Column:
+    """A fault that strikes ``ppm`` of a million entries, the same ones for one seed and kind."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:{kind}:"), lsn.cast("string")).cast("binary")), 1, 8)
+    return F.conv(digits, 16, 10).cast("long") % 1_000_000 < ppm
+
+
+def strike(data: DataFrame, seed: int, rates: dict[str, int]) -> DataFrame:
+    """Entries with the first fault that strikes them (``rates``: kind to parts in a million), or null."""
+    fault = F.lit(None).cast("string")
+    for kind, ppm in reversed(rates.items()):
+        fault = F.when(seeded_fault(seed, kind, F.col("lsn"), ppm), kind).otherwise(fault)
+    return data.withColumn("fault", fault)
+
+
 def durable_lsn(data: DataFrame, batch: int, failed_sync: Column) -> DataFrame:
     """The end of the last batch whose sync succeeded: one row; 0 if there was none."""
     b = data.groupBy(F.floor((F.col("lsn") - 1) / batch).alias("batch_no")).agg(F.max("lsn").alias("end"))

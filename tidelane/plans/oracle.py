@@ -37,6 +37,17 @@ crashed AS (SELECT data.*, CASE WHEN lsn % 97 = 0 THEN 'unwritten' WHEN lsn <= (
 _M16 = _MESSAGES.format(lanes=16)
 
 
+#: Entries in segments of 1000 and whether they outlive the damage: a torn or a flipped
+#: end costs a segment its last entry; a last byte that is zero already would not change.
+_HELD = f"""{_DATA}, held AS (SELECT *, (lsn - 1) // 1000 AS segment_id,
+  CASE WHEN (lsn - 1) // 1000 % 5 = 3 THEN 'partial' WHEN (lsn - 1) // 1000 % 7 = 4 THEN 'checksum' ELSE 'end' END AS ended,
+  NOT (((lsn - 1) // 1000 % 5 = 3 OR (lsn - 1) // 1000 % 7 = 4) AND lsn = max(lsn) OVER (PARTITION BY (lsn - 1) // 1000)) AS whole FROM data)"""
+
+
+def _struck(kind: str, ppm: int) -> str:
+    return f"('0x' || substr(md5('42:{kind}:' || lsn::VARCHAR), 1, 8))::BIGINT % 1000000 < {ppm}"
+
+
 def _occupancy(capacity: int, per_tick: int, need: int, verdict: str) -> str:
     return f"""WITH RECURSIVE {_M16},
 fold AS (SELECT producer_id, seq, ts_us // {HOUR_US} AS tick, true AS ok, {need}::BIGINT AS occupied FROM messages WHERE seq = 0
@@ -142,4 +153,23 @@ SELECT batch_id, outcome, state FROM fold WHERE batch_id >= 0""",
 fold AS (SELECT batch_id, at_us, at_us AS leaves FROM batches WHERE batch_id = 0
   UNION ALL SELECT b.batch_id, b.at_us, greatest(b.at_us, (SELECT o FROM origin) + ((f.leaves - (SELECT o FROM origin)) // {8 * HOUR_US} + 1) * {8 * HOUR_US}) FROM fold f JOIN batches b ON b.batch_id = f.batch_id + 1)
 SELECT batch_id, leaves AS leaves_us, leaves - at_us AS waited_us FROM fold""",
+    "producer_count": "WITH n AS (SELECT count(DISTINCT user_id) AS u FROM events) SELECT least(u, 128) AS producers, greatest(u - 128, 0) AS refused, 128 - least(u, 128) AS free FROM n",
+    "channel_metrics": f"""WITH {_M16}, d AS (SELECT producer_id, count(*) AS r FROM (SELECT * FROM messages ORDER BY producer_id, seq LIMIT 1000) GROUP BY producer_id),
+m AS (SELECT producer_id, count(*) AS sent, coalesce(any_value(r), 0) AS received FROM messages LEFT JOIN d USING (producer_id) GROUP BY producer_id)
+SELECT producer_id, sent, received, ((sent + 63) // 64)::BIGINT AS batches_sent, ((received + 63) // 64)::BIGINT AS batches_received FROM m""",
+    "collector_metrics": _occupancy(8, 1, 1, "accepted").replace("SELECT producer_id, seq, ok AS accepted, occupied FROM fold", "SELECT producer_id, (count(*) FILTER (ok))::BIGINT AS submitted, (count(*) FILTER (NOT ok))::BIGINT AS full, arg_max(occupied, seq)::BIGINT AS in_flight, ((count(*) FILTER (ok)) - arg_max(occupied, seq))::BIGINT AS consumed FROM fold GROUP BY producer_id"),
+    "wal_group_commit_gap": f"""WITH {_M16}, l AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY producer_id ORDER BY seq) >= {4 * HOUR_US} AS late FROM messages),
+r AS (SELECT *, (sum(CASE WHEN late THEN 1 ELSE 0 END) OVER (PARTITION BY producer_id ORDER BY seq))::BIGINT AS run_no FROM l),
+p AS (SELECT *, (row_number() OVER (PARTITION BY producer_id, run_no ORDER BY seq) - 1) // 16 AS batch_no FROM r)
+SELECT producer_id, run_no, batch_no, count(*) AS records, min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) < 16 AS by_gap FROM p GROUP BY producer_id, run_no, batch_no""",
+    "wal_segment_scan": f"WITH {_HELD} SELECT segment_id, (count(*) FILTER (whole))::BIGINT AS entries, coalesce(max(tx_id) FILTER (whole), 0) AS max_tx_id, any_value(ended) AS ended FROM held GROUP BY segment_id",
+    "wal_damage_stats": f"WITH {_HELD} SELECT count(DISTINCT segment_id) FILTER (ended = 'partial') AS partial_writes, count(DISTINCT segment_id) FILTER (ended = 'checksum') AS checksum_failures FROM held",
+    "wal_scan_recover": f"""WITH {_HELD}, {_MARKERS}, n AS (SELECT tx_id, count(*) AS entries FROM held WHERE whole GROUP BY tx_id)
+SELECT CASE m.op WHEN 'Commit' THEN 'Commit' WHEN 'Abort' THEN 'Rollback' ELSE 'Incomplete' END AS class, count(*) AS transactions, sum(coalesce(entries, 0))::BIGINT AS entries
+FROM n FULL JOIN markers m ON n.tx_id = m.tx_id GROUP BY 1""",
+    "store_apply_each": f"""WITH {_DATA}, {_MARKERS}, c AS (SELECT d.*, m.mlsn FROM data d JOIN markers m ON d.tx_id = m.tx_id AND m.op = 'Commit')
+SELECT key, (count(*) FILTER (op <> 'Delete'))::BIGINT AS writes, coalesce(sum(value) FILTER (op <> 'Delete'), 0)::BIGINT AS total, arg_max(op, mlsn * 1000000000 + lsn) AS last_op FROM c GROUP BY key""",
+    "wal_seeded_faults": f"""WITH {_DATA}, f AS (SELECT op, CASE WHEN {_struck("write", 10_000)} THEN 'write' WHEN {_struck("partial", 5_000)} THEN 'partial' WHEN {_struck("read", 20_000)} THEN 'read' ELSE 'none' END AS fault FROM data)
+SELECT op, fault, count(*) AS entries FROM f GROUP BY op, fault""",
+    "span_trace_paths": f"WITH {_SPANS} SELECT trace_id, count(*) AS n, string_agg((span_id & 281474976710655)::VARCHAR || ':' || name, ',' ORDER BY span_id) AS path FROM spans GROUP BY trace_id",
 }

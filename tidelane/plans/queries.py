@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.model import BatchConfig, BreakerConfig, LaneConfig, RetryConfig, STREAM_DEFAULT
 from tidelane.operators import lanes, log, replay, resilience, spans, verify
-from tidelane.sources import tables
+from tidelane.sources import segments, tables
 
 HOUR_US = 3_600_000_000
 
@@ -37,7 +38,7 @@ def channel_bounded_drain(spark, sf_dir):
 
 @query
 def lane_bounded_drain(spark, sf_dir):
-    got = lanes.drain_lanes(tables.messages(spark, sf_dir), 100)
+    got = lanes.drain_lanes(tables.messages(spark, sf_dir, most=100), 100)
     return got.groupBy("producer_id").agg(F.count(F.lit(1)).alias("drained"), F.sum("value_c").alias("value_c"))
 
 
@@ -63,6 +64,23 @@ def register_producers(spark, sf_dir):
     return lanes.register(tables.messages(spark, sf_dir), "user_id", ["ts_us", "event_id"], LaneConfig(max_producers=128))
 
 
+@query
+def producer_count(spark, sf_dir):
+    return lanes.producer_count(register_producers(spark, sf_dir), LaneConfig(max_producers=128))
+
+
+@query
+def channel_metrics(spark, sf_dir):
+    m = tables.messages(spark, sf_dir)
+    consumed = lanes.drain(m, 1000).groupBy("producer_id").agg((F.max("seq") + 1).alias("head"))
+    return lanes.channel_metrics(m, consumed, 64)
+
+
+@query
+def collector_metrics(spark, sf_dir):
+    return lanes.collector_metrics(lanes.try_send(tables.messages(spark, sf_dir), 8, HOUR_US, 1))
+
+
 @query
 def fifo_violations(spark, sf_dir):
     return lanes.fifo_violations(tables.messages(spark, sf_dir))
@@ -113,6 +131,43 @@ def wal_group_commit(spark, sf_dir):
     return log.group_commit(log.records(data, tables.log_markers(spark, sf_dir), n), 256)
 
 
+@query
+def wal_group_commit_gap(spark, sf_dir):
+    """Lanes as logs: a batch of at most 16, closed by four hours of silence."""
+    rows = tables.messages(spark, sf_dir).withColumnRenamed("seq", "pos")
+    return log.group_commit_by_gap(rows, 16, 4 * HOUR_US, ["producer_id"])
+
+
+def _damaged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log bytes in segments of 1000 entries: some are torn at their end, some have a flipped byte."""
+    data = log.fixed_segments(tables.log_data(spark, sf_dir), 1000)
+    text = lambda c: F.col(c).cast("string")
+    rows = data.select("segment_id", ((F.col("lsn") - 1) % 1000).alias("idx"), "op", "tx_id", F.lit(7).cast("long").alias("ts_sec"), text("key").alias("key"), text("value").cast("binary").alias("value"), text("value").cast("binary").alias("old_value"))
+    whole = segments.encode(rows)
+    torn = F.expr("substring(content, 1, octet_length(content) - 5)")
+    # the last byte of the last entry, which its checksum covers
+    flipped = F.expr("concat(substring(content, 1, octet_length(content) - 1), X'00')")
+    return whole.select("segment_id", F.when(F.col("segment_id") % 5 == 3, torn).when(F.col("segment_id") % 7 == 4, flipped).otherwise(F.col("content")).alias("content"))
+
+
+@query
+def wal_segment_scan(spark, sf_dir):
+    """Entries encoded, framed, damaged and read back: each segment's valid prefix."""
+    return segments.ends(_damaged_segments(spark, sf_dir))
+
+
+@query
+def wal_damage_stats(spark, sf_dir):
+    return segments.damage(_damaged_segments(spark, sf_dir))
+
+
+@query
+def wal_scan_recover(spark, sf_dir):
+    """Recovery classes of what the damaged segments still hold."""
+    found = segments.entries(_damaged_segments(spark, sf_dir)).select("tx_id", "op")
+    return log.recovery_stats(log.recover(found, tables.markers_by_date(spark, sf_dir), "at"))
+
+
 @query
 def wal_segment_rotation(spark, sf_dir):
     return log.rotate(tables.log_data(spark, sf_dir), 65_536)
@@ -186,6 +241,17 @@ def store_snapshot_size(spark, sf_dir):
     return replay.snapshot_size(_state(spark, sf_dir))
 
 
+@query
+def store_apply_each(spark, sf_dir):
+    """A user's rule: how often a key was written, and the sum of what was written to it."""
+
+    def apply(rows):
+        kept = rows[rows["op"] != "Delete"]
+        return pd.DataFrame({"key": [int(rows["key"].iloc[0])], "writes": [len(kept)], "total": [int(kept["value"].sum())], "last_op": [rows["op"].iloc[-1]]})
+
+    return replay.apply_each(tables.log_data(spark, sf_dir), tables.log_markers(spark, sf_dir), apply, "key long, writes long, total long, last_op string")
+
+
 # verification
 
 
@@ -198,6 +264,13 @@ def wal_crash_durable(spark, sf_dir):
     return _crashed(spark, sf_dir).groupBy("op", "tier").agg(F.count(F.lit(1)).alias("entries"))
 
 
+@query
+def wal_seeded_faults(spark, sf_dir):
+    """Entries by the fault that strikes them under one seed."""
+    struck = verify.strike(tables.log_data(spark, sf_dir), 42, {"write": 10_000, "partial": 5_000, "read": 20_000})
+    return struck.groupBy("op", F.coalesce("fault", F.lit("none")).alias("fault")).agg(F.count(F.lit(1)).alias("entries"))
+
+
 @query
 def verify_recovery(spark, sf_dir):
     committed = tables.markers_by_date(spark, sf_dir).where("op = 'Commit'")
@@ -223,6 +296,11 @@ def span_trace_groups(spark, sf_dir):
     return spans.trace_groups(tables.spans(spark, sf_dir))
 
 
+@query
+def span_trace_paths(spark, sf_dir):
+    return spans.trace_paths(tables.spans(spark, sf_dir))
+
+
 @query
 def span_parent_join(spark, sf_dir):
     return spans.children(tables.spans(spark, sf_dir))

@@ -100,6 +100,18 @@ def entries(segments: DataFrame) -> DataFrame:
     return segments.select("segment_id", "content").mapInArrow(run, LOG_SCHEMA)
 
 
+def ends(segments: DataFrame) -> DataFrame:
+    """Per segment the entries of its valid prefix, their largest tx id, and why reading ended, in one scan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [scan(c) for c in batch.column(1).to_pylist()]
+            top = [max((r[1] for r in rows), default=0) for rows, _ in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r, _ in found], pa.int64()), pa.array(top, pa.int64()), pa.array([why for _, why in found], pa.string())], names=["segment_id", "entries", "max_tx_id", "ended"])
+
+    return segments.select("segment_id", "content").mapInArrow(run, "segment_id long, entries long, max_tx_id long, ended string")
+
+
 def damage(segments: DataFrame) -> DataFrame:
     """One row: segments that end in a partial write, and with a failed checksum."""
 

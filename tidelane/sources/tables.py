@@ -22,12 +22,17 @@ def _micros(c: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({c} AS TIMESTAMP_NTZ))")
 
 
-def messages(spark: SparkSession, sf_dir: str, lanes: int = 16) -> DataFrame:
-    """producer_id, seq, event_id, event_type, user_id, ts_us, value_c: events in lanes by user."""
+def messages(spark: SparkSession, sf_dir: str, lanes: int = 16, most: int | None = None) -> DataFrame:
+    """producer_id, seq, event_id, event_type, user_id, ts_us, value_c: events in lanes by user.
+
+    With ``most`` only the first ones of every lane, which are cut off before the sort.
+    """
     e = table(spark, sf_dir, "events")
     lane = F.pmod("user_id", F.lit(lanes)).cast("long")
-    seq = F.row_number().over(Window.partitionBy("producer_id").orderBy("ts", "event_id")) - 1
-    return e.withColumn("producer_id", lane).select("producer_id", seq.cast("long").alias("seq"), "event_id", "event_type", "user_id", _micros("ts").alias("ts_us"), F.round(F.col("value") * 100).cast("long").alias("value_c"))
+    place = F.row_number().over(Window.partitionBy("producer_id").orderBy("ts", "event_id"))
+    e = e.withColumn("producer_id", lane).withColumn("_place", place)
+    e = e if most is None else e.where(F.col("_place") <= most)
+    return e.select("producer_id", (F.col("_place") - 1).cast("long").alias("seq"), "event_id", "event_type", "user_id", _micros("ts").alias("ts_us"), F.round(F.col("value") * 100).cast("long").alias("value_c"))
 
 
 def log_data(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
