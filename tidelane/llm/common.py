@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Whether the shuffle files of a statement go with its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor see.
 
@@ -39,12 +43,18 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and return a scan of it.
 
     The files outlive a lost executor; later stages never recompute what made
-    them.  ``release`` deletes them early; the cluster clears what is left, as it
+    them, so the shuffle files behind them go with the end of the write.
+    ``release`` deletes the table early; the cluster clears what is left, as it
     does for checkpoints.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelane/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
     return out

@@ -57,11 +57,6 @@ def _gram(w: str, size: int) -> str:
     return f"xxhash64({', '.join(f'{w}[i + {k}]' for k in range(size))})"
 
 
-def hashed(w: str, size: int = SHINGLE) -> str:
-    """SQL for the hashes of the distinct shingles."""
-    return f"CASE WHEN size({w}) >= {size} THEN array_distinct(transform(sequence(0, size({w}) - {size}), i -> {_gram(w, size)})) ELSE array(xxhash64({w})) END"
-
-
 def made(rows: DataFrame, keep: list[str], **columns: str) -> DataFrame:
     """``keep`` and new columns by SQL, each evaluated once.
 
@@ -73,6 +68,21 @@ def made(rows: DataFrame, keep: list[str], **columns: str) -> DataFrame:
     return rows.selectExpr(*keep, f"inline(array(named_struct({fields}))) AS ({', '.join(columns)})")
 
 
+def with_tokens(rows: DataFrame, keep: list[str], size: int = SHINGLE) -> DataFrame:
+    """``keep`` and ``tokens``: hashes of the distinct shingles of the words ``w``; a short line has one.
+
+    Hashes of n words are made of those of n / 2 and of one, so that a word's text
+    is hashed once.
+    """
+    rows = made(rows, [*keep, "w"], h="transform(w, x -> xxhash64(x))").selectExpr(*keep, "h", "h AS g")
+    n = 1
+    for bit in f"{size:b}"[1:]:
+        for other, more in [("g", n)] + [("h", 1)] * int(bit):
+            rows = made(rows, [*keep, "h"], g=f"IF(size(h) < {size}, g, zip_with(slice(g, 1, size(g) - {more}), slice({other}, {n + 1}, size(g) - {more}), (a, b) -> xxhash64(a, b)))")
+            n += more
+    return made(rows, keep, tokens=f"IF(size(h) < {size}, array(xxhash64(h)), array_distinct(g))")
+
+
 def _within(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     """The rows whose key is among ``keys`` (one column, distinct): a broadcast up to
     ``BROADCAST_KEYS`` of them, which are counted first, else a join by key."""
@@ -99,7 +109,7 @@ def _first_lines(texts: DataFrame, classes: DataFrame) -> DataFrame:
     place = Window.partitionBy("id", "mark").orderBy("id")
     once = texts.withColumn("_row", F.row_number().over(place)).where("_row = 1").drop("_row")
     owned = classes.groupBy(F.col("first.id").alias("id"), F.col("first.mark").alias("mark")).agg(F.collect_list(F.struct("first.no", "node")).alias("own"))
-    held = once.join(owned, ["id", "mark"]).select("id", "mark", F.split("text", "\n", -1).alias("all"), F.inline("own"))
+    held = made(once.join(owned, ["id", "mark"]), ["id", "mark", "own"], all="split(text, '\\n', -1)").select("id", "mark", "all", F.inline("own"))
     lines = held.select("node", F.struct("id", "mark", "no").alias("first"), F.get("all", F.col("no")).alias("line"))
     return lines.withColumn("line", F.expr(spaced("line")))
 
@@ -192,7 +202,7 @@ def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     distinct = save(_first_lines(texts, classes), "distinct-lines")
     undecided = _undecided(distinct, shingle, similarity)
     near = made(_within(distinct, undecided, "node"), ["node", "first", "line"], w=words("line")).where("size(w) > 0")
-    near = save(made(near, ["node", "first", "line"], tokens=hashed("w", shingle)), "undecided-texts")
+    near = save(with_tokens(near, ["node", "first", "line"], shingle), "undecided-texts")
     postings = save(_prefixes(near, similarity), "line-prefixes")
     # the least by document: what later lines are compared with first
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "node")).alias("least")).where("n > 1").select("token", F.col("least.node").alias("least"))
