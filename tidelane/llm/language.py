@@ -28,6 +28,8 @@ UNKNOWN = "und"
 #: Labelled texts that the model is fitted on, and landmarks, per language.
 SAMPLE_PER_LANGUAGE, LANDMARKS = 400, 48
 RIDGE = 1e-2
+#: Languages whose counts a join may broadcast; they are counted first.
+BROADCAST_LANGUAGES = 100_000
 #: A softmax of the regressions' outputs, which lie around 0 and 1.
 SHARPNESS = 12.0
 #: How far a recognised language's score lies above an even split, as a share of what
@@ -153,7 +155,8 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     rows = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("id").isNotNull())
     # hashes below four times a language's share are enough, so that few ids are shuffled
     counts = docs.groupBy(col(lang).cast("string").alias("lang")).agg((4 * per_language / F.count(F.lit(1))).alias("share"))
-    hashes = rows.select("lang", "id", F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t")).join(counts, "lang")
+    few = counts.count() <= BROADCAST_LANGUAGES
+    hashes = rows.select("lang", "id", F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t")).join(F.broadcast(counts) if few else counts, "lang")
     near = hashes.where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).withColumn("h", F.pmod("h", F.lit(1 << 30)))
     once = near.groupBy("lang", "h", "id").agg(F.min("t").alias("t"))
     place = Window.partitionBy("lang").orderBy("h", "id")
