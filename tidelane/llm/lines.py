@@ -53,10 +53,6 @@ def shingles(w: str, size: int = SHINGLE) -> str:
     return f"CASE WHEN size({w}) >= {size} THEN array_distinct(transform(sequence(1, size({w}) - {size - 1}), i -> array_join(slice({w}, i, {size}), ' '))) WHEN size({w}) > 0 THEN array(array_join({w}, ' ')) ELSE array() END"
 
 
-def _gram(w: str, size: int) -> str:
-    return f"xxhash64({', '.join(f'{w}[i + {k}]' for k in range(size))})"
-
-
 def made(rows: DataFrame, keep: list[str], **columns: str) -> DataFrame:
     """``keep`` and new columns by SQL, each evaluated once.
 
@@ -71,16 +67,15 @@ def made(rows: DataFrame, keep: list[str], **columns: str) -> DataFrame:
 def with_tokens(rows: DataFrame, keep: list[str], size: int = SHINGLE) -> DataFrame:
     """``keep`` and ``tokens``: hashes of the distinct shingles of the words ``w``; a short line has one.
 
-    Hashes of n words are made of those of n / 2 and of one, so that a word's text
-    is hashed once.
+    Each word is hashed once; a shingle's hash is the sum, without carries, of its
+    words' hashes, each moved by its place.
     """
-    rows = made(rows, [*keep, "w"], h="transform(w, x -> xxhash64(x))").selectExpr(*keep, "h", "h AS g")
-    n = 1
-    for bit in f"{size:b}"[1:]:
-        for other, more in [("g", n)] + [("h", 1)] * int(bit):
-            rows = made(rows, [*keep, "h"], g=f"IF(size(h) < {size}, g, zip_with(slice(g, 1, size(g) - {more}), slice({other}, {n + 1}, size(g) - {more}), (a, b) -> xxhash64(a, b)))")
-            n += more
-    return made(rows, keep, tokens=f"IF(size(h) < {size}, array(xxhash64(h)), array_distinct(g))")
+    rows = made(rows, keep, h="transform(w, x -> xxhash64(x))")
+    places = f"size(h) - {size - 1}"
+    grams = f"slice(h, 1, {places})"
+    for k in range(1, size):
+        grams = f"zip_with({grams}, slice(h, {k + 1}, {places}), (a, b) -> shiftleft(a, 1) ^ b)"
+    return rows.selectExpr(*keep, f"IF(size(h) < {size}, array(xxhash64(h)), array_distinct({grams})) AS tokens")
 
 
 def _within(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
@@ -122,9 +117,11 @@ def _counted(distinct: DataFrame, size: int) -> DataFrame:
     """
     w = made(distinct, ["node"], w=words("line")).where("size(w) > 0")
     places = w.selectExpr("node", "w", f"greatest(size(w) - {size - 1}, 1) AS n", f"explode(sequence(0, greatest(size(w) - {size}, 0))) AS i")
-    counted = f"size(w) < {size} OR (xxhash64(w[i], w[i + {min(1, size - 1)}]) & 1023) < {CLASS}"
-    rows = made(places, ["node", "w", "n", "i"], counted=counted).where("counted OR i = 0")
-    return rows.selectExpr("node", "n", "counted", f"CASE WHEN NOT counted THEN CAST(0 AS BIGINT) WHEN size(w) >= {size} THEN {_gram('w', size)} ELSE xxhash64(w) END AS token")
+    counted = f"(size(w) < {size} OR (xxhash64(w[i], w[i + {min(1, size - 1)}]) & 1023) < {CLASS})"
+    rows = places.where(f"i = 0 OR {counted}")
+    gram = f"xxhash64({', '.join(f'w[i + {k}]' for k in range(size))})"
+    # what is not counted only tells that the line is there
+    return rows.selectExpr("node", "n", f"{counted} AS counted", f"CASE WHEN size(w) < {size} THEN xxhash64(w) WHEN {counted} THEN {gram} ELSE node END AS token")
 
 
 def _undecided(distinct: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -134,8 +131,7 @@ def _undecided(distinct: DataFrame, size: int, similarity: float) -> DataFrame:
     repeated = save(seen.where("n > 1"), "repeated-tokens")
     shared = repeated.where("lo < hi").select("token")
     few = shared.count() <= BROADCAST_KEYS
-    alone = held.where("counted").join(F.broadcast(shared) if few else shared, "token", "left_anti").select("node", "n", F.lit(1).alias("alone"))
-    lines = alone.unionByName(held.where("NOT counted").select("node", "n", F.lit(0).alias("alone")))
+    lines = held.join(F.broadcast(shared) if few else shared, "token", "left_anti").select("node", "n", F.col("counted").cast("int").alias("alone"))
     # a token that a line repeats counts once
     again = repeated.where("lo = hi").select(F.col("lo").alias("node"), F.lit(0).alias("n"), (1 - F.col("n")).cast("int").alias("alone"))
     enough = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1  # never shrinks with n
