@@ -201,3 +201,44 @@ def test_retry_breaker_and_limit_of_exporters():
     for _ in range(3):
         limited(None, 0)
     assert waits == [1.0, 1.0]
+
+
+def test_ranges_split_rows_that_agree_on_the_first_column(spark):
+    df = spark.createDataFrame([(1, None if i % 40 == 0 else f"k{i:03d}") for i in range(400)], "a int, b string")
+    placed = ordering.with_position(df, ["a", "b"], "pos", rows_per_range=50)
+    got = sorted((r.pos, r.b is not None, r.b or "") for r in placed.collect())
+    assert [p for p, *_ in got] == list(range(400)) and [x[1:] for x in got] == sorted(x[1:] for x in got)
+
+
+@pytest.mark.parametrize("kind", ["sum", "max"])
+def test_running_values_over_blocks(spark, kind):
+    values = [(i * 37) % 23 - 11 for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, v long")
+    got = [r.x for r in ordering.running(df, "i", F.col("v"), kind, "x", block=7).orderBy("i").collect()]
+    assert got == [(sum if kind == "sum" else max)(values[: k + 1]) for k in range(100)]
+
+
+def test_resilient_exporter_counts_a_batch_once():
+    calls = []
+
+    def failing(batch, batch_id):
+        calls.append(batch_id)
+        raise RuntimeError
+
+    export = sinks.resilient(failing, RetryConfig(max_retries=1, initial_ms=0), BreakerConfig(2, 1_000_000, 1))
+    for _ in range(2):
+        with pytest.raises(RuntimeError):
+            export(None, 0)
+    with pytest.raises(sinks.CircuitOpen):
+        export(None, 0)
+    assert len(calls) == 4 and export.state == "Open"
+
+
+def test_first_delivery_in_a_stream(spark, tmp_path):
+    rows = [(1, 1, "2024-01-01 00:00:00"), (1, 1, "2024-01-01 00:00:01"), (1, 2, "2024-01-01 00:00:02")]
+    df = spark.createDataFrame(rows, "tx_id long, lsn long, at string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = []
+    stream = streams.first_delivery(streams.source(spark, f"{tmp_path}/in", df.schema), "1 hour", "at")
+    streams.drain(stream, lambda batch, _: got.extend((r.tx_id, r.lsn) for r in batch.collect()), f"{tmp_path}/ck")
+    assert sorted(got) == [(1, 1), (1, 2)]
