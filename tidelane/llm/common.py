@@ -39,9 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, plain: tuple[str, ...] = ()) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and return a scan of it.
 
+    ``plain`` names columns (paths in the file) of values that hardly repeat, for
+    which the writer builds no dictionary.  The lightest compression level serves
+    tables that are read once or twice.
+
     The files outlive a lost executor; later stages never recompute what made
     them, so the shuffle files behind them go with the end of the write.
     ``release`` deletes the table early; the cluster clears what is left, as it
@@ -52,7 +56,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        options = {f"parquet.enable.dictionary#{c}": "false" for c in plain}
+        df.write.options(compression="zstd", **{"parquet.compression.codec.zstd.level": "1"}, **options).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

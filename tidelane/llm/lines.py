@@ -126,9 +126,9 @@ def _counted(distinct: DataFrame, size: int) -> DataFrame:
 
 def _undecided(distinct: DataFrame, size: int, similarity: float) -> DataFrame:
     """The nodes of lines that may have a similar one (see above)."""
-    held = save(_counted(distinct, size), "counted-tokens")
+    held = save(_counted(distinct, size), "counted-tokens", ("token",))
     seen = held.where("counted").groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"))
-    repeated = save(seen.where("n > 1"), "repeated-tokens")
+    repeated = save(seen.where("n > 1"), "repeated-tokens", ("token",))
     shared = repeated.where("lo < hi").select("token")
     few = shared.count() <= BROADCAST_KEYS
     lines = held.join(F.broadcast(shared) if few else shared, "token", "left_anti").select("node", "n", F.col("counted").cast("int").alias("alone"))
@@ -192,13 +192,13 @@ def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     count as earlier than each other.  Null ids and texts give no lines.
     """
     texts = _texts(docs, doc_id, text)
-    keyed = save(_keyed(texts), "keyed-lines")
+    keyed = save(_keyed(texts), "keyed-lines", ("h1", "h2"))
     order = F.struct("id", "mark", "no")
-    classes = save(keyed.groupBy(*_KEY).agg(F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()), "line-classes")
-    distinct = save(_first_lines(texts, classes), "distinct-lines")
+    classes = save(keyed.groupBy(*_KEY).agg(F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()), "line-classes", ("h1", "h2", "node"))
+    distinct = save(_first_lines(texts, classes), "distinct-lines", ("line",))
     undecided = _undecided(distinct, shingle, similarity)
     near = made(_within(distinct, undecided, "node"), ["node", "first", "line"], w=words("line")).where("size(w) > 0")
-    near = save(with_tokens(near, ["node", "first", "line"], shingle), "undecided-texts")
+    near = save(with_tokens(near, ["node", "first", "line"], shingle), "undecided-texts", ("line", "tokens.list.element"))
     postings = save(_prefixes(near, similarity), "line-prefixes")
     # the least by document: what later lines are compared with first
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "node")).alias("least")).where("n > 1").select("token", F.col("least.node").alias("least"))
