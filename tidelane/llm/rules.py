@@ -7,11 +7,13 @@ Mahalanobis distance.
 
 The estimates cover all rows.  Equal statistic vectors of a group count once, so
 that a large set of copies cannot become a group's centre; this also aggregates
-hot groups before anything is shuffled.  MCD runs for all groups at once: from
-medians and median deviations, then concentration steps (distance quantile,
-moments of the nearest part), each a partially aggregated pass over the saved
-vectors.  Groups too small for an estimate use their language's, or the one of
-all rows.  Matrices, one row per group, are inverted in Python; nothing grows on
+hot groups before anything is shuffled.  MCD runs for all groups at once, from
+several starts; concentration steps (distance quantile, moments of the nearest
+part) are partially aggregated passes over the saved vectors.  After the first
+steps the start of least determinant goes on alone.  Quantiles come from
+histograms of fixed bins, so they depend neither on partitions nor on their order.
+Groups too small for an estimate use their language's, or the one of all rows.
+Matrices, one row per group and start, are inverted in Python; nothing grows on
 the driver.
 """
 
@@ -24,7 +26,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.llm.common import as_bytes, col, save, slices
@@ -37,6 +39,9 @@ FEATURES = {"log_words": 0.75, "log_word_length": 0.15, "log_symbols": 0.5, "upp
 #: Share of a group whose scatter has the least determinant, concentration steps,
 #: the least distinct vectors for an estimate, and the share of clean texts that pass.
 NEAREST, STEPS, LEAST_ROWS, PASS = 0.75, 6, 100, 0.9999
+#: Where estimates start: medians and median deviations, the moments of all rows, and
+#: those of the half nearest the medians; after PROBE steps the best start goes on.
+STARTS, PROBE = ("medians", "all", "core"), 2
 
 _P = len(FEATURES)
 _X = [f"_x{k}" for k in range(_P)]
@@ -129,13 +134,42 @@ def _squared(centre: str, root: str) -> Column:
     return reduce(add, [r * r for r in rows])
 
 
+def order_statistic(values: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """Rows (keys, bound): the least ``d`` of a key with at least ``share`` of its rows at or below it.
+
+    Two histograms of counts: of bins 0.4 % wide, then of 65,536 parts of the bin
+    that holds the rank, whose largest value is taken.  It is the exact order
+    statistic but for different values in one such part, which is 6e-8 of the value
+    wide.  Bins are a constant number per key, whatever its rows.
+    """
+    d = F.col("d")
+    size = F.floor(256 * F.log(F.abs(d))) + 300_000
+    rows = values.where(d.isNotNull()).withColumn("bin", F.when(d > 0, size).when(d < 0, -size).otherwise(0))
+    bins = rows.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    rank = F.ceil(F.sum("n").over(Window.partitionBy(*keys)) * share)
+    picked = bins.withColumns({"before": F.coalesce(before, F.lit(0)), "rank": rank}).where((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("n")))
+    part = F.when(F.col("hi") > F.col("lo"), F.floor((d - F.col("lo")) / (F.col("hi") - F.col("lo")) * 65_535)).otherwise(0)
+    fine = rows.join(picked.select(*keys, "bin", "lo", "hi", "before", "rank"), [*keys, "bin"])
+    fine = fine.groupBy(*keys, "before", "rank", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("hi"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    return fine.withColumn("upto", upto).where(F.col("upto") >= F.col("rank")).groupBy(*keys).agg(F.min("hi").alias("bound"))
+
+
+def _medians(values: list[Column], rows: DataFrame, name: str) -> DataFrame:
+    """Rows (group, name): an array of the medians of the values, one row of small arrays per group."""
+    each = rows.select("group", F.posexplode(F.array(*values)).alias("k", "d"))
+    found = order_statistic(each, ["group", "k"], 0.5).groupBy("group").agg(F.array_sort(F.collect_list(F.struct("k", "bound"))).alias("m"))
+    return found.select("group", F.col("m.bound").alias(name))
+
+
 def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From a group's count, sums and sums of products: its centre and inverse Cholesky factor."""
+    """From the count, sums and sums of products of a group and start: centre and inverse Cholesky factor."""
     floors = np.array(list(FEATURES.values()))
     low = np.tril_indices(_P)
     for batch in batches:
         centres, roots = [], []
-        for n, sums, products in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+        for n, sums, products in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
             mean = np.array(sums) / n
             second = np.zeros((_P, _P))
             second[low] = np.array(products) / n
@@ -144,33 +178,58 @@ def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cov += np.diag(np.maximum(floors**2 - np.diag(cov), 0) + 1e-9)
             centres.append(mean.tolist())
             roots.append(np.linalg.inv(np.linalg.cholesky(cov))[low].tolist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(centres, pa.list_(pa.float64())), pa.array(roots, pa.list_(pa.float64()))], names=["group", "centre", "root"])
+        doubles = pa.list_(pa.float64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(centres, doubles), pa.array(roots, doubles)], names=["group", "start", "centre", "root"])
+
+
+def _fit(rows: DataFrame) -> DataFrame:
+    """Centre and inverse Cholesky factor of the rows of every group and start."""
+    sums = F.array(*[F.sum(x) for x in _X])
+    products = F.array(*[F.sum(F.col(_X[k]) * F.col(_X[j])) for k in range(_P) for j in range(k + 1)])
+    moments = rows.groupBy("group", "start").agg(F.count(F.lit(1)).cast("double").alias("n"), sums.alias("sums"), products.alias("products"))
+    return moments.mapInArrow(_factor, "group string, start int, centre array<double>, root array<double>")
+
+
+def _concentrate(vectors: DataFrame, found: DataFrame, share: float) -> DataFrame:
+    """The estimate of the ``share`` of every group that is nearest to the estimate given."""
+    far = vectors.join(found, "group").select("group", "start", _squared("centre", "root").alias("d"))
+    # one small row per group and start, so that the vectors themselves need not move for it
+    bounded = save(found.join(order_statistic(far, ["group", "start"], share), ["group", "start"]), "distance-bounds")
+    return _fit(vectors.join(bounded, "group").where(_squared("centre", "root") <= F.col("bound")))
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """The start of least determinant of every group; of equal ones the first."""
+    tightness = reduce(add, [F.log(F.col("root")[k * (k + 3) // 2]) for k in range(_P)])
+    return found.groupBy("group").agg(F.max(F.struct(tightness.alias("t"), (-F.col("start")).alias("s"), "centre", "root")).alias("b")).select("group", (-F.col("b.s")).alias("start"), "b.centre", "b.root")
 
 
-def estimates(vectors: DataFrame, steps: int = STEPS, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """Rows (group, centre, root): MCD estimates of the distinct vectors of each group.
+def estimates(vectors: DataFrame, steps: int = STEPS, least_rows: int = LEAST_ROWS, starts: tuple[str, ...] = STARTS[:1]) -> DataFrame:
+    """Rows (group, start, centre, root): MCD estimates of the distinct vectors of each group.
 
     ``vectors`` has a string column ``group`` and the statistics; groups of fewer
-    than ``least_rows`` rows get no estimate.
+    than ``least_rows`` rows get no estimate.  ``starts`` names some of STARTS.
     """
     floors = list(FEATURES.values())
-    middle = vectors.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.percentile_approx(x, 0.5) for x in _X]).alias("centre")).where(F.col("n") >= least_rows)
-    middle = save(middle, "medians")
-    spread = vectors.join(middle, "group").groupBy("group", "centre").agg(F.array(*[F.percentile_approx(F.abs(F.col(x) - F.col("centre")[k]), 0.5) for k, x in enumerate(_X)]).alias("mad"))
+    large = vectors.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_rows).select("group")
+    vectors = vectors.join(save(large, "large-groups"), "group")
+    middle = save(_medians([F.col(x) for x in _X], vectors, "centre"), "medians")
+    deviations = [F.abs(F.col(x) - F.col("centre")[k]) for k, x in enumerate(_X)]
+    spread = middle.join(_medians(deviations, vectors.join(middle, "group"), "mad"), "group")
     zero = F.lit(0.0)
     root = F.array(*[1 / F.greatest(1.4826 * F.col("mad")[k], F.lit(floors[k])) if j == k else zero for k in range(_P) for j in range(k + 1)])
-    found = save(spread.select("group", "centre", root.alias("root")), "robust-start")
-    for _ in range(steps):
-        far = vectors.join(found, "group").withColumn("d", _squared("centre", "root"))
-        bound = far.groupBy("group").agg(F.percentile_approx("d", NEAREST).alias("bound"))
-        # one small row per group, so that the vectors themselves need not move for it
-        bounded = save(found.join(bound, "group"), "distance-bounds")
-        near = vectors.join(bounded, "group").where(_squared("centre", "root") <= F.col("bound"))
-        sums = F.array(*[F.sum(x) for x in _X])
-        products = F.array(*[F.sum(F.col(_X[k]) * F.col(_X[j])) for k in range(_P) for j in range(k + 1)])
-        moments = near.groupBy("group").agg(F.count(F.lit(1)).cast("double").alias("n"), sums.alias("sums"), products.alias("products"))
-        found = save(moments.mapInArrow(_factor, "group string, centre array<double>, root array<double>"), "concentration")
-    return found
+    medians = save(spread.select("group", F.lit(0).alias("start"), "centre", root.alias("root")), "robust-start")
+    makers = {
+        "medians": lambda: medians,
+        "all": lambda: _fit(vectors.withColumn("start", F.lit(0))),
+        "core": lambda: _concentrate(vectors, medians, 0.5),
+    }
+    found = save(reduce(DataFrame.unionByName, [makers[x]().withColumn("start", F.lit(k)) for k, x in enumerate(starts)]), "starts")
+    for step in range(1, steps + 1):
+        found = save(_concentrate(vectors, found, NEAREST), "concentration")
+        if step == PROBE:
+            found = save(_best(found), "best-start")
+    return _best(found)
 
 
 def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least_rows: int = LEAST_ROWS, share: float = PASS) -> DataFrame:
@@ -186,7 +245,7 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     levels = {"own": F.concat_ws("\x1f", F.lit("s"), "_lang", "_source"), "wide": F.concat_ws("\x1f", F.lit("l"), "_lang"), "all": F.col("_all")}
     good = rows.where(~F.col("base_failed"))
     vectors = [good.select(key.alias("group"), *_X).distinct() for key in levels.values()]
-    found = estimates(save(reduce(DataFrame.unionByName, vectors), "distinct-statistics"), least_rows=least_rows)
+    found = save(estimates(save(reduce(DataFrame.unionByName, vectors), "distinct-statistics"), least_rows=least_rows, starts=STARTS), "estimates")
     judged = rows
     for name, key in levels.items():
         side = found.select(F.col("group").alias(f"_g_{name}"), F.col("centre").alias(f"_c_{name}"), F.col("root").alias(f"_r_{name}"))
