@@ -212,8 +212,7 @@ def estimates(vectors: DataFrame, steps: int = STEPS, least_rows: int = LEAST_RO
     """
     floors = list(FEATURES.values())
     large = vectors.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_rows).select("group")
-    vectors = vectors.join(save(large, "large-groups"), "group")
-    middle = save(_medians([F.col(x) for x in _X], vectors, "centre"), "medians")
+    middle = save(_medians([F.col(x) for x in _X], vectors, "centre").join(large, "group"), "medians")
     deviations = [F.abs(F.col(x) - F.col("centre")[k]) for k, x in enumerate(_X)]
     spread = middle.join(_medians(deviations, vectors.join(middle, "group"), "mad"), "group")
     zero = F.lit(0.0)
@@ -221,15 +220,16 @@ def estimates(vectors: DataFrame, steps: int = STEPS, least_rows: int = LEAST_RO
     medians = save(spread.select("group", F.lit(0).alias("start"), "centre", root.alias("root")), "robust-start")
     makers = {
         "medians": lambda: medians,
-        "all": lambda: _fit(vectors.withColumn("start", F.lit(0))),
+        "all": lambda: _fit(vectors.join(medians.select("group", "start"), "group")),
         "core": lambda: _concentrate(vectors, medians, 0.5),
     }
-    found = save(reduce(DataFrame.unionByName, [makers[x]().withColumn("start", F.lit(k)) for k, x in enumerate(starts)]), "starts")
+    found = reduce(DataFrame.unionByName, [makers[x]().withColumn("start", F.lit(k)) for k, x in enumerate(starts)])
+    found = save(found, "starts") if starts != STARTS[:1] else medians
+    last = min(PROBE, steps)
     for step in range(1, steps + 1):
-        found = save(_concentrate(vectors, found, NEAREST), "concentration")
-        if step == PROBE:
-            found = save(_best(found), "best-start")
-    return _best(found)
+        nearer = _concentrate(vectors, found, NEAREST)
+        found = save(_best(nearer) if step == last and len(starts) > 1 else nearer, "concentration")
+    return found
 
 
 def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least_rows: int = LEAST_ROWS, share: float = PASS) -> DataFrame:
@@ -245,7 +245,7 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     levels = {"own": F.concat_ws("\x1f", F.lit("s"), "_lang", "_source"), "wide": F.concat_ws("\x1f", F.lit("l"), "_lang"), "all": F.col("_all")}
     good = rows.where(~F.col("base_failed"))
     vectors = [good.select(key.alias("group"), *_X).distinct() for key in levels.values()]
-    found = save(estimates(save(reduce(DataFrame.unionByName, vectors), "distinct-statistics"), least_rows=least_rows, starts=STARTS), "estimates")
+    found = estimates(save(reduce(DataFrame.unionByName, vectors), "distinct-statistics"), least_rows=least_rows, starts=STARTS)
     judged = rows
     for name, key in levels.items():
         side = found.select(F.col("group").alias(f"_g_{name}"), F.col("centre").alias(f"_c_{name}"), F.col("root").alias(f"_r_{name}"))
