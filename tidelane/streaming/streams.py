@@ -58,6 +58,40 @@ def try_send(messages: DataFrame, capacity: int, tick_us: int, per_tick: int) ->
     return messages.select("producer_id", "seq", "ts_us").groupBy("producer_id").applyInPandasWithState(step, "producer_id long, seq long, accepted boolean, occupied long", "occupied long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def batches(spans: DataFrame, time: str, late: str, size: int, timeout_ms: int) -> DataFrame:
+    """Batches (trace_id, batch, spans, reason) that a trace gives at ``size`` spans or ``timeout_ms`` after its first.
+
+    The timer is event time, so it fires when the watermark passes it, data or
+    not.  The state is two numbers per trace that has spans pending or has given a
+    batch before; spans without a trace are a trace of their own.
+    """
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        number, pending = state.get if state.exists else (0, 0)
+        out = []
+        if state.hasTimedOut:
+            if pending:
+                out.append((key[0], number, pending, "timeout"))
+            state.update((number + (pending > 0), 0))
+        else:
+            rows = pd.concat(list(frames))
+            fresh, pending = pending == 0, pending + len(rows)
+            while pending >= size:
+                out.append((key[0], number, size, "size"))
+                number, pending, fresh = number + 1, pending - size, True
+            state.update((number, pending))
+            if pending:
+                # a new first span starts the timer; an old one's goes on
+                first = rows["at_ms"].sort_values().iloc[-min(pending, len(rows))] if fresh else None
+                due = int(first) + timeout_ms if fresh else state.oldTimeoutTimestamp
+                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["trace_id", "batch", "spans", "reason"])
+
+    t = spans.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    rows = t.select("trace_id", time, F.unix_millis(time).alias("at_ms"))
+    return rows.groupBy("trace_id").applyInPandasWithState(step, "trace_id long, batch long, spans long, reason string", "batch long, pending long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def span_windows(spans: DataFrame, time: str, late: str, width: str) -> DataFrame:
     """Spans and errors per closed time window; rows later than ``late`` are dropped."""
     t = spans.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
