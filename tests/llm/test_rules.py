@@ -78,41 +78,6 @@ def test_estimates_match_a_plain_computation(spark):
     assert np.allclose(row.centre, centre) and np.allclose(row.root, inverse[np.tril_indices(6)])
 
 
-def test_order_statistics_are_exact_in_any_partitioning(spark):
-    rng = np.random.default_rng(9)
-    values = {"a": rng.lognormal(0, 9, 3000), "b": np.round(rng.normal(size=2001), 2), "c": np.zeros(70), "d": np.array([-3.5])}
-    rows = [(k, None) for k in values] + [(k, float(x)) for k, v in values.items() for x in v]
-    frame = spark.createDataFrame(rows, "key string, d double")
-    for share in (0.5, 0.75, 1.0):
-        want = {k: float(np.sort(v)[math.ceil(share * len(v)) - 1]) for k, v in values.items()}
-        for parts in (1, 7):
-            assert {r.key: r.bound for r in rules.order_statistic(frame.repartition(parts), ["key"], share).collect()} == want
-
-
-def test_the_start_of_least_determinant_is_kept(spark):
-    rng = np.random.default_rng(10)
-    x = rng.normal(size=(500, 6)) * 3
-    x[:120] = rng.normal(size=(120, 6)) + 30
-    frame = spark.createDataFrame([("g", *map(float, v)) for v in x] + [("few", *map(float, x[0]))], "group string, " + ", ".join(f"{c} double" for c in rules._X))
-    diagonal = [k * (k + 3) // 2 for k in range(6)]
-    tightness = lambda r: sum(math.log(r.root[k]) for k in diagonal)
-    single = {s: rules.estimates(frame, steps=2, starts=(s,)).collect() for s in rules.STARTS}
-    assert all(len(r) == 1 for r in single.values())  # too few rows give no estimate
-    together = rules.estimates(frame, steps=2, starts=rules.STARTS).first()
-    assert tightness(together) == pytest.approx(max(tightness(r[0]) for r in single.values()))
-    assert np.abs(together.centre).max() < 1.0  # the far cluster is not in it
-
-
-def test_kept_is_the_distance_of_a_plain_estimate(spark):
-    rng = np.random.default_rng(12)
-    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9)))
-    rows = [(i, " ".join(word() + "#" * (i % 10 == 0) for _ in range(rng.integers(20, 200))), "en", "s", None) for i in range(200)]
-    got = rules.judge(spark.createDataFrame(rows, SCHEMA)).collect()
-    bound = rules.chi_square_quantile(rules.PASS, 6)
-    assert all(r.kept == (not r.base_failed and r.distance <= bound) for r in got)
-    assert {r.kept for r in got if r.doc_id % 10 == 0} == {False} and all(r.kept for r in got if r.doc_id % 10)
-
-
 def test_empty_table(spark):
     assert rules.judge(spark.createDataFrame([], SCHEMA)).collect() == []
 
