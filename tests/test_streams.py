@@ -64,3 +64,27 @@ def test_a_state_file_survives_a_torn_write(spark, tmp_path):
     # ended after the old file went and before the new one had its name
     (tmp_path / "state").rename(tmp_path / "state.next")
     assert store.load() == {"a": 2}
+
+
+def test_windows_close_behind_the_watermark(spark, tmp_path):
+    rows = [("2024-01-01 00:00:01", "Ok"), ("2024-01-01 00:00:09", "Error"), ("2024-01-01 00:00:11", "Ok"), ("2024-01-01 01:00:00", "Error")]
+    df = spark.createDataFrame(rows, "at string, status string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = []
+    stream = streams.span_windows(streams.source(spark, f"{tmp_path}/in", df.schema), "at", "0 seconds", "10 seconds")
+    streams.drain(stream, lambda batch, _: got.extend((r.spans, r.errors) for r in batch.collect()), f"{tmp_path}/ck")
+    assert sorted(got) == [(1, 0), (2, 1)]  # the window that is still open gives nothing
+
+
+def test_polling_hands_over_until_it_is_stopped(spark, tmp_path, capsys):
+    spark.range(3).coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = []
+
+    def export(batch, batch_id):
+        sinks.console(2)(batch, batch_id)
+        got.extend(r.id for r in batch.collect())
+
+    query = streams.poll(streams.source(spark, f"{tmp_path}/in", "id long"), export, f"{tmp_path}/ck")
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(got) == [0, 1, 2] and "only showing top 2 rows" in capsys.readouterr().out
