@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidelane.llm import simhash
 
@@ -81,6 +82,45 @@ def test_neighbouring_cells_lose_no_link(blocks):
     assert (met > 0).all()
 
 
+@pytest.mark.parametrize(("blocks", "distance"), [(1, 1), (2, 2), (2, 4), (3, 4), (4, 4), (5, 4), (4, 7)])
+def test_radii_that_sum_to_less_lose_no_link(blocks, distance):
+    """Links of every spread of flipped bits meet in some grid within its own radius."""
+    radii = simhash.radii(blocks, distance)
+    assert sum(radii) == distance + 1 - blocks and min(radii) >= 0
+    rng = np.random.default_rng(10 * blocks + distance)
+    base = rng.integers(0, 2**63, 600, dtype=np.uint64)
+    flips = np.zeros(600, np.uint64)
+    for k in range(distance):  # a third of the pairs differ within few segments, a third in one bit of each
+        at = np.concatenate([rng.integers(0, 64, 200), rng.integers(20, 24, 200), (2 * (rng.integers(0, 32, 200) + 9 * k) + 1) % 64])
+        flips |= np.uint64(1) << at.astype(np.uint64)
+    x, y = simhash.embed(base), simhash.embed(base ^ flips)
+    met = np.zeros(600, bool)
+    for segments, radius in zip(simhash.grids(blocks), radii, strict=True):
+        here = simhash.mask(segments)
+        met |= (x ^ y) & here == 0
+        for a, b in ((x, y), (y, x)):
+            for at, moved in simhash.visits(a, segments, radius):
+                met[at] |= (moved ^ b[at]) & here == 0
+    assert met.all()
+
+
+def test_keyed_rows_grow_in_step_with_the_fingerprints(spark):
+    made = []
+    for n in (40_000, 200_000):
+        fps = spark.range(n).select(F.xxhash64("id").alias("fp"))
+        blocks = simhash.blocks_for(n, 4)
+        made.append(simhash._keyed(fps, blocks, 4).count())
+        assert made[-1] < 20 * n and abs(made[-1] / n - simhash.rows_each(blocks, 4)) < 0.5
+    assert made[1] < 5.5 * made[0]
+
+
+def test_a_fullest_cell_fits_a_task():
+    for distance in range(9):
+        for n in (0, 1, 10**6, 10**8, 10**10, 10**12):
+            blocks = simhash.blocks_for(n, distance)
+            assert blocks == 1 or n * 0.5 ** (32 // blocks) * (1 + 32 // blocks / 2) <= simhash.ROWS_PER_CELL
+
+
 def test_every_neighbour_is_visited_once_and_one_way():
     e = simhash.embed(np.array([0b00_01_11_00, 0b01_11_00_01], np.uint64))
     segments = range(4)

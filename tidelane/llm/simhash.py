@@ -6,12 +6,14 @@ Hamming distance, so pairs within ``distance`` bits are found by a range join
 under Manhattan distance and then verified on the bits.
 
 The range join runs on grids: the segments are dealt to B blocks, one grid each, whose
-cells are keyed by the counts in the block.  Two embeddings at Manhattan distance r or
-less are at distance r // B or less in one block at least, so every fingerprint lies in
-its own cell of each grid and visits the neighbouring cells within r // B of it; of two
-neighbours one visits the other.  B is chosen by the number of fingerprints: fewer
-blocks make finer cells and more visits.  No cell is capped; a large one is joined on
-equal stretches of bits, of which any pair within ``distance`` bits has one.
+cells are keyed by the counts in the block.  Every block has a radius, and these sum to
+r + 1 - B: two embeddings beyond the radius in every block are at a Manhattan distance
+over r.  So every fingerprint lies in its own cell of each grid and visits the
+neighbouring cells within the block's radius; of two neighbours one visits the other.
+B does not follow the number of fingerprints until a cell would outgrow a task, so the
+keyed rows grow in step with the fingerprints, about 19 each at four bits.  No cell is
+capped; a large one is joined on equal stretches of bits, of which any pair within
+``distance`` bits has one.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ DISTANCE = 4
 SEED = 42
 #: Keyed rows that one task compares, by expectation.
 ROWS_PER_TASK = 1_000_000
+#: Keyed rows that the fullest cell may hold, by expectation; a cell is one task's.
+ROWS_PER_CELL = 2_000_000
 _CHUNK = 1_000_000
 #: Cells up to this many members are compared in step, all cells at once; larger ones
 #: than the second number are split by stretches of bits.
@@ -132,18 +136,28 @@ def _visited(segments: int, radius: int) -> float:
     return (inside - 1) / 2
 
 
-def blocks_for(n: int, distance: int) -> int:
-    """Blocks with the least expected work for n fingerprints.
+def radii(blocks: int, distance: int) -> list[int]:
+    """How far a fingerprint visits in each grid; beyond all of them is beyond the distance."""
+    least, more = divmod(distance + 1 - blocks, blocks)
+    return [least + (k < more) for k in range(blocks)]
 
-    A keyed row costs about twenty times what a compared pair costs; two
-    unrelated fingerprints agree on one segment with probability 3/8.
-    """
 
-    def work(blocks: int) -> float:
-        rows = blocks * (1 + _visited(32 // blocks, distance // blocks))
-        return rows * (20 + n * 0.375 ** (32 / blocks))
+def rows_each(blocks: int, distance: int) -> float:
+    """Keyed rows that a fingerprint makes, about."""
+    return sum(1 + _visited(len(segments), radius) for segments, radius in zip(grids(blocks), radii(blocks, distance), strict=True))
+
 
-    return min(range(2, distance + 2), key=work) if distance else 1
+def blocks_for(n: int, distance: int) -> int:
+    """Blocks for n fingerprints: the fewest with radii of at most one, whatever n.
+
+    Fewer blocks, whose finer cells take many times the visits, serve only where the
+    fullest cell would hold over ROWS_PER_CELL: that of one bit in every segment, as a
+    half of the fingerprints have, with half its own number from each neighbour.
+    """
+    blocks = distance // 2 + 1
+    while blocks > 1 and n * 0.5 ** (32 // blocks) * (1 + 32 // blocks / 2) > ROWS_PER_CELL:
+        blocks -= 1
+    return blocks
 
 
 def _keyed(fps: DataFrame, blocks: int, distance: int) -> DataFrame:
@@ -153,9 +167,9 @@ def _keyed(fps: DataFrame, blocks: int, distance: int) -> DataFrame:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
             e = embed(fp.view(np.uint64))
-            for k, segments in enumerate(grids(blocks)):
+            for k, (segments, radius) in enumerate(zip(grids(blocks), radii(blocks, distance), strict=True)):
                 seed, here = mix(np.array([k + 1], np.uint64)), mask(segments)
-                for own, (at, moved) in [(True, (np.arange(len(e)), e)), *[(False, x) for x in visits(e, segments, distance // blocks)]]:
+                for own, (at, moved) in [(True, (np.arange(len(e)), e)), *[(False, x) for x in visits(e, segments, radius)]]:
                     cell = mix((moved & here) ^ seed)
                     yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(fp[at]), pa.array(np.full(len(at), own))], names=["cell", "fp", "own"])
 
@@ -237,7 +251,7 @@ def groups(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     own = save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     n = own.count()
     blocks = blocks_for(n, distance)
-    rows = n * blocks * (1 + _visited(32 // blocks, distance // blocks))
+    rows = n * rows_each(blocks, distance)
     edges = _keyed(own.select("fp"), blocks, distance).repartition(max(1, -(-int(rows) // ROWS_PER_TASK)), "cell").mapInArrow(_links(distance), "a long, b long")
     roots = components(edges)
     rooted = own.join(roots, own["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
