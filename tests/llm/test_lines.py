@@ -61,3 +61,29 @@ def test_nothing_but_dataframe_functions(spark):
 
 def test_empty_table(spark):
     assert lines.remove_lines(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 7])
+def test_shingles_of_other_lengths(spark, size):
+    rows = [(d, t) for d, t in corpus(3) if d is not None and t is not None][:25]
+    rows += [(200, "a b a b a b a b a b a b\na b a b a b a b a b\nq q q q q q q q"), (201, "q q q q q q q q q\na b a b a b")]
+    out, seen = {}, []
+    for d, t in sorted(set(rows)):
+        for no, line in enumerate(t.split("\n")):
+            s = tokens(line, size)
+            out[d, no] = not s or not any(len(s & o) >= 0.8 * len(s | o) - 1e-9 for o in seen)
+            if s:
+                seen.append(s)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lines.similar_lines(docs, shingle=size).select("id", "no", "kept").collect()
+    assert {(r.id, r.no): r.kept for r in got} == out
+
+
+def test_unlike_lines_leave_with_few_counted_rows(spark):
+    """Lines of five to sixty words without any like them: a quarter of the places at most, and few lines stay."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, rng.integers(5, 61))) for _ in range(2000)]
+    distinct = spark.createDataFrame(list(enumerate(texts)), "node long, line string")
+    places = sum(len(t.split()) - 4 for t in texts)
+    assert lines._counted(distinct, lines.SHINGLE).count() < 0.25 * places
+    assert lines._undecided(distinct, lines.SHINGLE, lines.SIMILARITY).count() < 0.2 * len(texts)

@@ -5,10 +5,11 @@ A line goes if an earlier one, by doc_id and place, has a Jaccard similarity of
 ``similarity`` or more.
 
 Equal lines are collapsed first.  A line of k tokens has no similar one if
-k - ceil(t k) + 1 of its tokens stand in no other line.  Tokens whose first two words
-hash into the first ``CLASS`` of 1024 parts are counted exactly over all lines; a
-line that shows enough lonely tokens among these leaves before anything else is made
-of it.
+k - ceil(t k) + 1 of its tokens stand in no other line.  Four-word parts of tokens
+whose first two words hash into the first ``CLASS`` of 1024 parts are counted exactly
+over all lines.  What occurs once makes both tokens that hold it lonely, so that half
+as many rows show as many lonely tokens; a line that shows enough of them leaves before
+anything else is made of it.
 
 The tokens of the lines that stay are ordered by rarity: counts in ``RANKS`` hash
 buckets, the rarest bucket first.  Similar lines share a token among their first
@@ -22,14 +23,14 @@ the rest.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.llm.common import col, release, save
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Parts in 1024 of all tokens that are counted one by one.
-CLASS = 307
+#: Parts in 1024 of all four-word parts that are counted one by one.
+CLASS = 205
 #: Buckets of the rarity counts.
 RANK_BITS = 16
 RANKS = 1 << RANK_BITS
@@ -70,12 +71,17 @@ def with_tokens(rows: DataFrame, keep: list[str], size: int = SHINGLE) -> DataFr
     Each word is hashed once; a shingle's hash is the sum, without carries, of its
     words' hashes, each moved by its place.
     """
-    rows = made(rows, keep, h="transform(w, x -> xxhash64(x))")
-    places = f"size(h) - {size - 1}"
-    grams = f"slice(h, 1, {places})"
-    for k in range(1, size):
-        grams = f"zip_with({grams}, slice(h, {k + 1}, {places}), (a, b) -> shiftleft(a, 1) ^ b)"
-    return rows.selectExpr(*keep, f"IF(size(h) < {size}, array(xxhash64(h)), array_distinct({grams})) AS tokens")
+    rows = made(rows, keep, h="transform(w, x -> xxhash64(x))").withColumn("g", F.col("h"))
+    length = 1
+    for bit in f"{size:b}"[1:]:  # sums of twice as many words, then of one more
+        places = f"greatest(size(g) - {length}, 0)"
+        rows = made(rows, [*keep, "h"], g=f"zip_with(slice(g, 1, {places}), slice(g, {length + 1}, {places}), (a, b) -> shiftleft(a, {length}) ^ b)")
+        length *= 2
+        if bit == "1":
+            places = f"greatest(size(h) - {length}, 0)"
+            rows = made(rows, [*keep, "h"], g=f"zip_with(slice(g, 1, {places}), slice(h, {length + 1}, {places}), (a, b) -> shiftleft(a, 1) ^ b)")
+            length += 1
+    return rows.selectExpr(*keep, f"IF(size(h) < {size}, array(xxhash64(h)), array_distinct(g)) AS tokens")
 
 
 def _within(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
@@ -93,49 +99,48 @@ _KEY = ["h1", "h2", "size"]
 
 
 def _keyed(texts: DataFrame) -> DataFrame:
-    """Every line's place, whether it is blank, and a key of 160 bits for its text."""
+    """Every line's place, whether it is blank, a key of 160 bits for its text, and the text."""
     lines = texts.select("id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
     blank = F.expr("length(trim(BOTH ' \\u0009\\u000A\\u000B\\u000C\\u000D' FROM line)) = 0")
-    return lines.select("id", "mark", "no", blank.alias("blank"), F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.length("line").alias("size"))
+    return lines.select("id", "mark", "no", blank.alias("blank"), F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.length("line").alias("size"), "line")
 
 
-def _first_lines(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (node, first, line): the text of every distinct line, from its first place; white space is spaces."""
-    place = Window.partitionBy("id", "mark").orderBy("id")
-    once = texts.withColumn("_row", F.row_number().over(place)).where("_row = 1").drop("_row")
-    owned = classes.groupBy(F.col("first.id").alias("id"), F.col("first.mark").alias("mark")).agg(F.collect_list(F.struct("first.no", "node")).alias("own"))
-    held = made(once.join(owned, ["id", "mark"]), ["id", "mark", "own"], all="split(text, '\\n', -1)").select("id", "mark", "all", F.inline("own"))
-    lines = held.select("node", F.struct("id", "mark", "no").alias("first"), F.get("all", F.col("no")).alias("line"))
-    return lines.withColumn("line", F.expr(spaced("line")))
+def _first_lines(texts: DataFrame) -> DataFrame:
+    """Rows (key, node, first, line): every distinct line and its first place; white space is spaces."""
+    least = _keyed(texts).groupBy(*_KEY).agg(F.min(F.struct("id", "mark", "no", "line")).alias("least"))
+    first = F.struct(*[F.col(f"least.{x}").alias(x) for x in ("id", "mark", "no")]).alias("first")
+    return least.select(*_KEY, F.monotonically_increasing_id().alias("node"), first, F.col("least.line").alias("line")).withColumn("line", F.expr(spaced("line")))
 
 
 def _counted(distinct: DataFrame, size: int) -> DataFrame:
-    """Rows (node, n, counted, token) for the places of counted tokens, and one for every line at least.
+    """Rows (node, n, gain, part) for the places of counted parts of tokens; a line may have none.
 
-    ``n`` counts a line's places: its distinct tokens are as many at most.  All is
-    generated code; a token is hashed whole only if its first two words are in the class.
+    A part is a token without its last word (whole, if of two words or less) and
+    stands in the tokens of its own place and the place before; ``gain`` is how many
+    of these no counted part after it stands in.  ``n`` counts a line's tokens by
+    places: the distinct ones are as many at most.  All is generated code; a part is
+    hashed whole only if its first two words are in the class.
     """
+    part = size - 1 if size > 2 else size
     w = made(distinct, ["node"], w=words("line")).where("size(w) > 0")
-    places = w.selectExpr("node", "w", f"greatest(size(w) - {size - 1}, 1) AS n", f"explode(sequence(0, greatest(size(w) - {size}, 0))) AS i")
-    counted = f"(size(w) < {size} OR (xxhash64(w[i], w[i + {min(1, size - 1)}]) & 1023) < {CLASS})"
-    rows = places.where(f"i = 0 OR {counted}")
-    gram = f"xxhash64({', '.join(f'w[i + {k}]' for k in range(size))})"
-    # what is not counted only tells that the line is there
-    return rows.selectExpr("node", "n", f"{counted} AS counted", f"CASE WHEN size(w) < {size} THEN xxhash64(w) WHEN {counted} THEN {gram} ELSE node END AS token")
+    places = w.selectExpr("node", "w", f"greatest(size(w) - {size - 1}, 1) AS n", f"explode(sequence(0, IF(size(w) < {size}, 0, size(w) - {part}))) AS i")
+    counted = lambda i: f"((xxhash64({', '.join(f'w[{i} + {k}]' for k in range(min(2, part)))}) & 1023) < {CLASS})"
+    rows = places.where(f"size(w) < {size} OR {counted('i')}")
+    gain = f"IF(i > 0, 1, 0) + IF(i < n, IF({counted('i + 1')}, 0, 1), 0)" if part < size else "1"
+    gram = f"xxhash64({', '.join(f'w[i + {k}]' for k in range(part))})"
+    return rows.selectExpr("node", "n", f"IF(size(w) < {size}, 1, {gain}) AS gain", f"IF(size(w) < {size}, xxhash64(w), {gram}) AS part")
 
 
 def _undecided(distinct: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The nodes of lines that may have a similar one (see above)."""
-    held = save(_counted(distinct, size), "counted-tokens", ("token",))
-    seen = held.where("counted").groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"))
-    repeated = save(seen.where("n > 1"), "repeated-tokens", ("token",))
-    shared = repeated.where("lo < hi").select("token")
-    few = shared.count() <= BROADCAST_KEYS
-    lines = held.join(F.broadcast(shared) if few else shared, "token", "left_anti").select("node", "n", F.col("counted").cast("int").alias("alone"))
-    # a token that a line repeats counts once
-    again = repeated.where("lo = hi").select(F.col("lo").alias("node"), F.lit(0).alias("n"), (1 - F.col("n")).cast("int").alias("alone"))
+    """The nodes of lines that may have a similar one (see above).
+
+    Tokens around parts that occur once in all lines are lonely and differ from each other.
+    """
+    held = save(_counted(distinct, size), "counted-parts", ("part",))
+    repeated = save(held.groupBy("part").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("part"), "repeated-parts", ("part",))
+    alone = held.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_KEYS else repeated, "part", "left_anti")
     enough = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1  # never shrinks with n
-    decided = lines.unionByName(again).groupBy("node").agg(F.max("n").alias("n"), F.sum("alone").alias("alone")).where(F.col("alone") >= enough)
+    decided = alone.groupBy("node").agg(F.max("n").alias("n"), F.sum("gain").alias("alone")).where(F.col("alone") >= enough)
     out = save(distinct.select("node").join(decided.select("node"), "node", "left_anti"), "undecided-lines")
     release(held, repeated)
     return out
@@ -192,10 +197,7 @@ def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     count as earlier than each other.  Null ids and texts give no lines.
     """
     texts = _texts(docs, doc_id, text)
-    keyed = save(_keyed(texts), "keyed-lines", ("h1", "h2"))
-    order = F.struct("id", "mark", "no")
-    classes = save(keyed.groupBy(*_KEY).agg(F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()), "line-classes", ("h1", "h2", "node"))
-    distinct = save(_first_lines(texts, classes), "distinct-lines", ("line",))
+    distinct = save(_first_lines(texts), "distinct-lines", ("h1", "h2", "node", "line"))
     undecided = _undecided(distinct, shingle, similarity)
     near = made(_within(distinct, undecided, "node"), ["node", "first", "line"], w=words("line")).where("size(w) > 0")
     near = save(with_tokens(near, ["node", "first", "line"], shingle), "undecided-texts", ("line", "tokens.list.element"))
@@ -203,7 +205,7 @@ def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     # the least by document: what later lines are compared with first
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "node")).alias("least")).where("n > 1").select("token", F.col("least.node").alias("least"))
     index = save(postings.join(shared, "token"), "shared-prefixes")
-    release(distinct, undecided, postings)
+    release(undecided, postings)
     # Sizes within the similarity, and places of the first token that both have: before it
     # nothing is common, so what follows must hold all that is needed.
     needed = F.ceil(similarity / (1 + similarity) * (F.col("kx") + F.col("ky")) - 1e-9)
@@ -221,9 +223,10 @@ def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     later = later.join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     later = save(later, "later-pairs")
     gone = found.unionByName(_verified(later, near, shingle, similarity)).distinct().select("node", F.lit(True).alias("gone"))
-    judged = save(classes.join(gone, "node", "left").select(*_KEY, "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-verdicts")
-    release(classes, near, index, tried, found, later)
-    return keyed.join(judged, _KEY).select("id", "mark", "no", (F.col("blank") | (~F.col("gone") & (order == F.col("first")))).alias("kept"))
+    judged = save(distinct.join(gone, "node", "left").select(*_KEY, "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-verdicts", ("h1", "h2"))
+    release(distinct, near, index, tried, found, later)
+    kept = F.col("blank") | (~F.col("gone") & (F.struct("id", "mark", "no") == F.col("first")))
+    return _keyed(texts).drop("line").join(judged, _KEY).select("id", "mark", "no", kept.alias("kept"))
 
 
 def remove_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
