@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +95,44 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[
             yield batch.slice(at, rows)
 
 
+#: What this worker remembers between tasks, by operator.
+_REMEMBERED: dict[str, dict] = {}
+
+
+def remembered(operator: str) -> dict:
+    """What this worker remembers for the operator's next tasks, until a task of another one ends."""
+    return _REMEMBERED.setdefault(operator, {})
+
+
+def give_back(operator: str = "") -> None:
+    """Forget what other operators remember here, and return what this process has freed
+    to the machine: Arrow's pool and the C library's heap keep it otherwise."""
+    for other in set(_REMEMBERED) - {operator}:
+        del _REMEMBERED[other]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim is not None:
+        trim(0)
+
+
+def thrifty(run: Callable, operator: str = "") -> Callable:
+    """A function of Arrow batches whose worker gives its memory back at the task's end,
+    but for what it remembers for ``operator``.
+
+    Spark keeps idle Python workers for a minute; what they still hold would lie
+    beside the executor's heap while a later stage fills that.
+    """
+
+    @functools.wraps(run)
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back(operator)
+
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit values (splitmix64 finaliser)."""
     with np.errstate(over="ignore"):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import col, slices
+from tidelane.llm.common import col, slices, thrifty
 
 UNKNOWN = "und"
 #: Labelled texts that the model is fitted on, and landmarks, per language.
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["h", "lang", "grams"])
 
     held = rows.withColumn("t", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "lang", "t"]).select("h", "lang", "text")
-    got = sorted({(r["h"], r["lang"], bytes(r["grams"])) for r in held.mapInArrow(run, "h long, lang string, grams binary").toLocalIterator()})
+    got = sorted({(r["h"], r["lang"], bytes(r["grams"])) for r in held.mapInArrow(thrifty(run), "h long, lang string, grams binary").toLocalIterator()})
     return Model([np.frombuffer(g, "<i4") for _, _, g in got], [x for _, x, _ in got])
 
 
@@ -194,7 +194,7 @@ def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
     schema = docs.select(*[col(x) for x in others]).schema
     key = col(doc_id).cast("long")
     rows = docs.select(key.alias("doc_id"), held_out(key).alias("held_out"), col(text).cast("string").alias("_text"), *[col(x) for x in others])
-    return rows.mapInArrow(run, ", ".join(["doc_id long, held_out boolean, lang_pred string, score double", *[f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]]))
+    return rows.mapInArrow(thrifty(run), ", ".join(["doc_id long, held_out boolean, lang_pred string, score double", *[f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]]))
 
 
 def keep_known(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", margin: float = LEAST_MARGIN, model: Model | None = None) -> DataFrame:
@@ -210,4 +210,4 @@ def keep_known(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", l
         for batch in slices(batches):
             yield batch.filter(pa.array(shared.value.known(batch.column(place).to_pylist(), margin), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)

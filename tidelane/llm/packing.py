@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import as_bytes, col, save, slices
+from tidelane.llm.common import as_bytes, col, remembered, save, slices, thrifty
 
 CAPACITY = 4096
 END_ID = 1
@@ -93,14 +93,12 @@ class WordEncoder:
             yield np.frombuffer(blob, "<u4")
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder_of(path: str) -> WordEncoder:
     """The encoder of this Python worker; what it remembers serves all its tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    held = remembered("packing")
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
@@ -122,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").alias("text")).mapInArrow(run, PIECE_SCHEMA)
+    return docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).cast("string").alias("text")).mapInArrow(thrifty(run, "packing"), PIECE_SCHEMA)
 
 
 class OpenBins:
@@ -185,7 +183,7 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_BI
     order = F.xxhash64(*[col(x) for x in ("doc_id", "piece", "start", "length", "ids_crc32")])
     dealt = parts.withColumn("_h", order).repartition(tasks, "_h").sortWithinPartitions("_h", "doc_id", "piece").drop("_h")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return dealt.mapInArrow(run, f"{ddl}, sequence_id long, offset long")
+    return dealt.mapInArrow(thrifty(run, "packing"), f"{ddl}, sequence_id long, offset long")
 
 
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, open_bins: int = OPEN_BINS, per_task: int = PIECES_PER_TASK) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import as_bytes, col, components, mix, save, slices, spanning_stars
+from tidelane.llm.common import as_bytes, col, components, mix, save, slices, spanning_stars, thrifty
 
 SHINGLE = 4
 DISTANCE = 4
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["doc_id", "mark", "fp"])
 
     rows = docs.select(col(doc_id).cast("long").alias("doc_id"), F.xxhash64(col(text)).alias("mark"), col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, mark long, fp long")
+    return rows.mapInArrow(thrifty(run), "doc_id long, mark long, fp long")
 
 
 _ODD = np.uint64(0x5555555555555555)
@@ -173,7 +173,7 @@ def _keyed(fps: DataFrame, blocks: int, distance: int) -> DataFrame:
                     cell = mix((moved & here) ^ seed)
                     yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(fp[at]), pa.array(np.full(len(at), own))], names=["cell", "fp", "own"])
 
-    return fps.mapInArrow(run, "cell long, fp long, own boolean")
+    return fps.mapInArrow(thrifty(run), "cell long, fp long, own boolean")
 
 
 def _near(x: np.ndarray, e: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int) -> np.ndarray:
@@ -252,7 +252,7 @@ def groups(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     n = own.count()
     blocks = blocks_for(n, distance)
     rows = n * rows_each(blocks, distance)
-    edges = _keyed(own.select("fp"), blocks, distance).repartition(max(1, -(-int(rows) // ROWS_PER_TASK)), "cell").mapInArrow(_links(distance), "a long, b long")
+    edges = _keyed(own.select("fp"), blocks, distance).repartition(max(1, -(-int(rows) // ROWS_PER_TASK)), "cell").mapInArrow(thrifty(_links(distance)), "a long, b long")
     roots = components(edges)
     rooted = own.join(roots, own["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

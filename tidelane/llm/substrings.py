@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import as_bytes, col, mix, save, slices
+from tidelane.llm.common import as_bytes, col, give_back, mix, save, slices, thrifty
 
 WINDOW = 13
 #: Words in a prefix, from the shortest; the last is the whole window.
@@ -176,7 +176,7 @@ def _counts(docs: DataFrame, window: int, group_suffixes: int) -> tuple[int, lis
             rows += [(k, int(b), int(held[b])) for b in np.flatnonzero(held > max(1, min(total >> 12, many * total // (8 * most))))]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["level", "bucket", "n"])
 
-    got = docs.mapInArrow(run, "level long, bucket long, n long").groupBy("level", "bucket").agg(F.sum("n").alias("n"))
+    got = docs.mapInArrow(thrifty(run), "level long, bucket long, n long").groupBy("level", "bucket").agg(F.sum("n").alias("n"))
     got = got.where((F.col("level") < 0) | (F.col("n") > many)).collect()
     total = sum(r["n"] for r in got if r["level"] < 0)
     largest = max((r["n"] for r in got if r["level"] == len(PREFIXES)), default=0)
@@ -239,7 +239,7 @@ def _deal(docs: DataFrame, groups: int, hot: list[np.ndarray], window: int, salt
             for a in range(0, len(rows), 256):
                 yield _batch(rows[a : a + 256])
 
-    return docs.mapInArrow(run, _RUNS)
+    return docs.mapInArrow(thrifty(run), _RUNS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -364,7 +364,13 @@ def _repeats(window: int):
         names = ["kind", "doc_id", "mark", "spans", "g", "docs", "owner", "start", "text", "many"]
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
-    return run
+    def out(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return out
 
 
 def _ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -413,7 +419,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         return found.select("doc_id", "mark", "spans")
     found = save(found, "salted-runs")
     again = found.where("kind = 1").select("g", F.lit(0).alias("round"), "docs", "owner", "start", "text", "many")
-    again = save(again.mapInArrow(_regroup(groups, window), _RUNS), "second-round").groupBy("g", "round").applyInArrow(_repeats(window), _FOUND)
+    again = save(again.mapInArrow(thrifty(_regroup(groups, window)), _RUNS), "second-round").groupBy("g", "round").applyInArrow(_repeats(window), _FOUND)
     return found.where("kind = 0").unionByName(again).select("doc_id", "mark", "spans")
 
 
@@ -488,4 +494,4 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([*columns, *[batch.column(3 + k) for k in range(len(others))]], names=[*names, *others])
 
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return joined.mapInArrow(run, ", ".join([ddl, *[f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]]))
+    return joined.mapInArrow(thrifty(run), ", ".join([ddl, *[f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]]))
